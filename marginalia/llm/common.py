@@ -14,6 +14,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: At most so many keys can each hold 1/HOT_KEYS of all rows, so a table of those keys is safe to broadcast.
 HOT_KEYS = 1000
+#: A table of at most so many narrow rows is broadcast, after they were counted.
+SAFE_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,11 +45,13 @@ def freeze(df: DataFrame, name: str) -> DataFrame:
 def lookup(big: DataFrame, small: DataFrame, key: str, weight: str, total: int, how: str = "left") -> DataFrame:
     """big joined to small, which has each key once, without a skewed shuffle.
 
-    weight is a column of small: how many rows of big have the key. Keys with at least total / HOT_KEYS rows are at most
+    If small, counted first, has at most SAFE_ROWS rows, it is broadcast. Else: weight is a column of small: how many rows of big have the key. Keys with at least total / HOT_KEYS rows are at most
     HOT_KEYS in number (total is their sum at least), so they are broadcast and their rows stay where they are; all other
     rows are shuffled by key, where no key has more than that share. big is read twice: freeze it if it is costly.
     Null keys match nothing.
     """
+    if small.limit(SAFE_ROWS + 1).count() <= SAFE_ROWS:
+        return big.join(F.broadcast(small), key, how)
     bound = max(1.0, total / HOT_KEYS)
     hot, cold = small.filter(F.col(weight) >= bound), small.filter(F.col(weight) < bound)
     mine = big.join(F.broadcast(hot), key)
