@@ -136,7 +136,7 @@ def write(pages: DataFrame, folder: str) -> list[tuple[str, int]]:
         where, path = fs.FileSystem.from_uri(folder)
         where.create_dir(path, recursive=True)
         name, size = f"{path}/{uuid.uuid4().hex}.warc.gz", 0
-        with where.open_output_stream(name) as out:
+        with where.open_output_stream(name, compression=None) as out:
             for batch in batches:
                 for page_id, url, payload, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
                     made = member(record(page_id, url, payload, refers_to))
