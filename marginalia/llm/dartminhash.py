@@ -171,38 +171,41 @@ def _components(edges: DataFrame) -> DataFrame:
 
 
 def near_classes(df: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, rows: int = ROWS, count: int = BANDS, counted: bool = False, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, class_id, class_size and any columns to keep, for every row.
+    """doc_id, class_id, class_size, kept and any columns to keep, for every row.
 
     Two rows are linked if their texts are equal, or if their shingles' Jaccard similarity is at least `similarity`; with
-    `counted`, shingles weigh as often as they occur. A class is a connected component, class_id its least doc_id.
-    A null text is alike to none, so its class is itself; texts without words are alike only if they are equal. A class of
+    `counted`, shingles weigh as often as they occur. A class is a connected component, class_id its least doc_id,
+    and kept is true for one row of it: that of class_id, of several the first in the input. A null text is alike to none, so its class is itself; texts without words are alike only if they are equal. A class of
     null ids has a null class_id; rows of one doc_id may be in several classes; equal rows stay as many rows; an empty
     table gives an empty one. Equal texts are one node from the start, so copies are never paired; within a band each node
     is compared with one other, and then only pairs that are still in different classes and whose sizes allow it.
     """
     keep = [c for c in (keep or []) if c != "doc_id"]
+    sent = ["doc_id", "__uid", *keep]
+    own = df.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("__uid"), *keep, *([] if "text" in keep else [F.col("text").cast("string").alias("text")]))
+    at = own.columns.index("text")
 
     def sketch(batches):
         import pyarrow as pa
 
         for batch in batches:
             keys, sizes, made = [], [], []
-            for t in batch.column(len(keep) + 1).to_pylist():
-                own, weights = shingles(t or "", words)
+            for t in batch.column(at).to_pylist():
+                elements, weights = shingles(t or "", words)
                 weights = weights.astype(float) if counted else None
                 keys.append(None if t is None else hashlib.md5(t.encode("utf-8", "replace")).digest())
-                sizes.append(len(own) if weights is None else int(weights.sum()))
-                made.append(bands(signature(own, weights, rows * count), rows, count).view(np.int64) if len(own) else np.zeros(0, np.int64))
+                sizes.append(len(elements) if weights is None else int(weights.sum()))
+                made.append(bands(signature(elements, weights, rows * count), rows, count).view(np.int64) if len(elements) else np.zeros(0, np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(m) for m in made])]).astype(np.int32)
             values = np.concatenate(made) if made else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-            columns = [*batch.columns[: len(keep) + 1], pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *keep, "__key", "__n", "__bands"])
+            columns = [*batch.columns[: len(sent)], pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=[*sent, "__key", "__n", "__bands"])
 
-    schema = ", ".join(["doc_id long", *(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), "__key binary, __n long, __bands array<long>"])
-    docs = freeze(df.select(F.col("doc_id").cast("long"), *keep, F.col("text").cast("string").alias("__text")).mapInArrow(sketch, schema), "sketches")
-    nodes = docs.filter("__key is not null").groupBy("__key").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.max(F.struct("__n", "__bands")).alias("s"))
-    nodes = freeze(nodes.select("__key", "doc", "copies", F.col("s.__n").alias("n"), F.col("s.__bands").alias("bands"), F.monotonically_increasing_id().alias("node")), "nodes")
+    schema = ", ".join(["doc_id long, __uid long", *(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), "__key binary, __n long, __bands array<long>"])
+    docs = freeze(own.mapInArrow(sketch, schema), "sketches")
+    nodes = docs.filter("__key is not null").groupBy("__key").agg(F.min("doc_id").alias("doc"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__uid")).alias("first"), F.count("*").alias("copies"), F.max(F.struct("__n", "__bands")).alias("s"))
+    nodes = freeze(nodes.select("__key", "doc", "first", "copies", F.col("s.__n").alias("n"), F.col("s.__bands").alias("bands"), F.monotonically_increasing_id().alias("node")), "nodes")
     placed = nodes.select("node", "n", F.explode("bands").alias("band"))
     buckets = placed.groupBy("band").agg(F.min("node").alias("rep"), F.count("*").alias("m")).filter("m > 1")
     buckets = freeze(buckets, "buckets")
@@ -222,15 +225,15 @@ def near_classes(df: DataFrame, similarity: float = SIMILARITY, words: int = WOR
         rest = one.join(two, "band").filter(fits).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
         edges = freeze(edges.unionByName(_similar(freeze(rest, "rest"), sets, similarity, counted)), "all-links")
     roots = _components(edges)
-    found = nodes.select("node", "__key", "doc", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    found = nodes.select("node", "__key", "doc", "first", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     found = freeze(found, "found")
-    classes = found.groupBy("root").agg(F.min("doc").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("nodes")).filter("class_size > 1")
+    classes = found.groupBy("root").agg(F.min("doc").alias("class_id"), F.sum("copies").alias("class_size"), F.min("first").alias("first"), F.count("*").alias("nodes")).filter("class_size > 1")
     by_key = lookup(found.select("__key", "root", "copies"), freeze(classes, "classes"), "root", "nodes", max(1, found.count()), "inner")
-    by_key = freeze(by_key.select("__key", "class_id", "class_size", "copies"), "class-of-text")
+    by_key = freeze(by_key.select("__key", "class_id", "class_size", F.col("first.__uid").alias("keeper"), "copies"), "class-of-text")
     shared = by_key.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
     out = lookup(docs.drop("__n", "__bands"), by_key, "__key", "copies", max(1, shared))
     alone = F.col("class_size").isNull()
-    return out.select("doc_id", *keep, F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+    return out.select("doc_id", *keep, F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), (alone | (F.col("keeper") == F.col("__uid"))).alias("kept"))
 
 
 def _sets(df: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int, counted: bool) -> DataFrame:

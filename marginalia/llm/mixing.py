@@ -4,12 +4,13 @@ Slots are handed out in frames. In a frame of Q slots, block i of a source of wh
 is released at floor(i * Q / w) and due by ceil((i + 1) * Q / w); among released blocks the earliest deadline goes first.
 As the weights fill the frame exactly, every block gets a slot within its window, so no source is ever a whole block ahead
 of or behind its share. Frames of equal weights are alike, so one is worked out and all are known. When a source runs out,
-a last, shorter frame takes what it has left and the others go on by their own weights: nothing is dropped or repeated.
+its frame stops where its next block would be, and the others start a new frame by their own weights: nothing is dropped
+or repeated. The frames are worked out from the weights and the sources' counts alone; rows meet them in a join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,42 +20,37 @@ from marginalia.llm.common import freeze, literal_rows
 REST = "*"
 
 
-def phases(blocks: dict[str, int], weights: dict[str, int]) -> list[dict]:
-    """Runs of equal frames: the weights, how many frames, the first slot, and the first block of each source. There are
-    two at most for each source, from counts of blocks alone."""
-    left, done, at, out = dict(blocks), dict.fromkeys(blocks, 0), 0, []
-    while active := sorted(s for s in left if left[s]):
-        frames = min(left[s] // weights[s] for s in active)
-        last = {s: min(left[s] - frames * weights[s], weights[s]) for s in active}
-        for n, w in ((frames, {s: weights[s] for s in active}), (1, {s: n for s, n in last.items() if n})):
-            if n and w:
-                out.append({"weights": w, "frames": n, "slot": at, "first": {s: done[s] for s in w}})
-                for s, x in w.items():
-                    left[s] -= n * x
-                    done[s] += n * x
-                at += n * sum(w.values())
-            if any(not left[s] for s in active):
-                break
-    return out
-
-
-def _frame(weights: Column) -> Column:
-    """The source (from 1) of each slot of a frame, earliest deadline first."""
-    total = F.aggregate(weights, F.lit(0).cast("bigint"), lambda a, w: a + w)
-    many = F.sequence(F.lit(1), F.size(weights))
-    zero = F.struct(F.transform(weights, lambda w: F.lit(0).cast("bigint")).alias("done"), F.array().cast("array<int>").alias("slots"))
+def frame(weights: list[int]) -> list[list[int]]:
+    """The slots of each source in a frame: of the blocks released so far, the one of the earliest deadline is next."""
+    total, done = sum(weights), [0] * len(weights)
+    slots: list[list[int]] = [[] for _ in weights]
+    for t in range(total):
+        released = (i for i, w in enumerate(weights) if done[i] < w and done[i] * total < (t + 1) * w)
+        first = min(released, key=lambda i: (-(-(done[i] + 1) * total // weights[i]), i))
+        slots[first].append(t)
+        done[first] += 1
+    return slots
 
-    def step(state: Column, t: Column) -> Column:
-        def window(s: Column) -> Column:
-            w, d = F.element_at(weights, s), F.element_at(state["done"], s)
-            deadline = F.ceil((d + 1) * total / w)
-            return F.when((d < w) & (d * total < (t + 1) * w), F.struct(deadline.alias("due"), s.alias("source")))
 
-        pick = F.array_min(F.transform(many, window))["source"]
-        done = F.transform(state["done"], lambda d, i: F.when(i + 1 == pick, d + 1).otherwise(d))
-        return F.struct(done.alias("done"), F.array_append(state["slots"], pick).alias("slots"))
-
-    return F.aggregate(F.sequence(F.lit(0).cast("bigint"), total - 1), zero, step)["slots"]
+def phases(blocks: dict[str, int], weights: dict[str, int]) -> list[dict]:
+    """Runs of equal frames, one for each set of sources that still have blocks, from counts of blocks alone. A row for each
+    run and source: its blocks first to end - 1 are in this run, which starts at a slot."""
+    left, at, out = {s: n for s, n in blocks.items() if n}, 0, []
+    while left:
+        names = sorted(left)
+        w = {s: weights[s] for s in names}
+        places = dict(zip(names, frame(list(w.values()))))
+        total, frames = sum(w.values()), min(left[s] // w[s] for s in names)
+        rest = {s: left[s] - frames * w[s] for s in names}
+        cut = min(places[s][rest[s]] for s in names if rest[s] < w[s])
+        for s in names:
+            n = frames * w[s] + sum(p < cut for p in places[s])
+            first = blocks[s] - left[s]
+            out.append({"source": s, "first": first, "end": first + n, "slot": at, "w": w[s], "total": total, "places": places[s]})
+            left[s] -= n
+        left = {s: n for s, n in left.items() if n}
+        at += frames * total + cut
+    return out
 
 
 def schedule(df: DataFrame, weights: dict[str, int], default: int = 1, order: list[str] | None = None, source: str = "source", block: int = 1) -> DataFrame:
@@ -79,17 +75,9 @@ def schedule(df: DataFrame, weights: dict[str, int], default: int = 1, order: li
     counts = {r.s: r.n for r in spans.groupBy(F.col("__source").alias("s")).agg(F.sum("__n").alias("n")).collect()}
     all_weights = {**{s: int(w) for s, w in weights.items()}, REST: default}
     plan = phases({s: -(-n // block) for s, n in counts.items()}, all_weights)
-    names = [sorted(p["weights"]) for p in plan]
-    runs = [
-        {"run": i, "slot": p["slot"], "w": [p["weights"][s] for s in n], "names": n, "first": [p["first"][s] for s in n], "frames": p["frames"]}
-        for i, (p, n) in enumerate(zip(plan, names))
-    ]
-    table = literal_rows(spark, runs, "run: int, slot: bigint, w: array<bigint>, names: array<string>, first: array<bigint>, frames: bigint")
-    table = table.withColumn("slots", _frame(F.col("w"))).withColumn("total", F.size("slots").cast("bigint"))
-    each = table.select("slot", "total", "frames", "slots", F.posexplode(F.arrays_zip("w", "names", "first")).alias("i", "s"))
-    places = F.transform(F.filter(F.transform("slots", lambda s, k: F.when(s == F.col("i") + 1, k)), lambda k: k.isNotNull()), lambda k: k.cast("bigint"))
-    run = F.struct(F.col("s.first").alias("first"), (F.col("s.first") + F.col("frames") * F.col("s.w")).alias("end"), "slot", F.col("s.w").alias("w"), "total", places.alias("places"))
-    runs_of = each.select(F.col("s.names").alias("__source"), run.alias("run")).groupBy("__source").agg(F.collect_list("run").alias("__runs"))
+    table = literal_rows(spark, plan, "source: string, first: bigint, end: bigint, slot: bigint, w: bigint, total: bigint, places: array<bigint>")
+    run = F.struct("first", "end", "slot", "w", "total", "places")
+    runs_of = table.groupBy(F.col("source").alias("__source")).agg(F.collect_list(run).alias("__runs"))
 
     rows = rows.join(F.broadcast(spans.select("__source", "__part", "__from", "__before")), ["__source", "__part"])
     number = F.floor((F.col("__at") - F.col("__from") + F.col("__before")) / block)

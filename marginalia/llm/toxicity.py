@@ -1,8 +1,9 @@
 """Toxicity: boosted trees over dense features of a whole text, calibrated by isotonic regression.
 
 The lexicon has two parts: insults of common use, and words and word beginnings that labelled toxic documents have far
-more often than other ones, so it follows whatever languages the labels cover. Three disjoint parts of the sample teach
-the lexicon, the trees and the calibration, so that none sees what another was fitted to.
+more often than other ones, so it follows whatever languages the labels cover. It is learned on two halves of the sample:
+trees and calibration see each document through the lexicon of the other half, and new documents that of both. The trees
+and the calibration are fitted to different documents.
 """
 
 from __future__ import annotations
@@ -127,6 +128,71 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
 
 
+def _learn_terms(sample: DataFrame) -> list[list[str]]:
+    """The terms learned without the first half, without the second half, and from both."""
+
+    def counts(batches, of: int, known: frozenset | None):
+        import pandas as pd
+
+        found: Counter = Counter()
+        for pdf in batches:
+            for t, half in zip(pdf["text"], pdf["half"]):
+                mine = terms(t or "")
+                found.update((x, half) for x in (mine if known is None else mine & known))
+        yield pd.DataFrame([(t, h, n) for (t, h), n in found.items()], columns=["term", "half", "n"])
+
+    def table(of: int, known: frozenset | None):
+        made = sample.filter(F.col("y") == of).select("text", "half").mapInPandas(lambda it: counts(it, of, known), "term string, half int, n long")
+        by_half = [F.coalesce(F.sum(F.when(F.col("half") == h, F.col("n"))), F.lit(0)).alias(f"n{h}") for h in (0, 1)]
+        return made.groupBy("term").agg(*by_half, F.sum("n").alias("n"))
+
+    sizes = {(r.y, r.half): r.n for r in sample.groupBy("y", "half").agg(F.count("*").alias("n")).collect()}
+    every = sum(n for (y, _), n in sizes.items() if y == 1)
+    often = {r.term: (r.n1, r.n0, r.n) for r in table(1, None).filter(F.col("n") >= max(3, int(0.002 * every))).orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES).collect()}
+    other = {r.term: (r.n1, r.n0, r.n) for r in table(0, frozenset(often)).collect()}
+    out = []
+    for k, halves in enumerate([(1,), (0,), (0, 1)]):
+        toxic, clean = (sum(sizes.get((y, h), 0) for h in halves) for y in (1, 0))
+        if not toxic or not clean:
+            out.append([])
+            continue
+        lift = {t: (n[k] + 0.5) / (toxic + 1) / ((other.get(t, (0, 0, 0))[k] + 0.5) / (clean + 1)) for t, n in often.items() if n[k] >= max(2, int(0.002 * toxic))}
+        good = sorted((t for t in lift if lift[t] >= LIFT), key=lambda t: (-often[t][k] * math.log(lift[t]), t))
+        out.append(good[:MAX_TERMS])
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
+    """A model of labels.toxic, from at most `most` labelled documents whose remainder is not 0. Without labels of both
+    kinds, it is a constant."""
+    from marginalia.llm.common import freeze
+
+    rows = labelled_sample(docs, labels, "toxic", most, lambda i: remainder(i) != 0)
+    sample = freeze(rows.withColumn("half", F.pmod("draw", F.lit(2)).cast("int")), "toxic-sample")
+    lexicons = [Lexicon(t) for t in _learn_terms(sample)]
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(x=[lexicons[h].features(t) for t, h in zip(pdf["text"], pdf["half"])])[["x", "y", "draw"]]
+
+    found = sample.select("text", "half", "y", "draw").mapInPandas(run, "x array<double>, y int, draw long").collect()
+    x = np.array([r.x for r in found]).reshape(len(found), len(FEATURES))
+    y = np.array([float(r.y) for r in found])
+    tuning = np.array([r.draw // 2 % 4 == 0 for r in found], dtype=bool)
+    trees = gbt.fit(x[~tuning], y[~tuning], MONOTONE)
+    return Model(lexicons[2], trees, gbt.isotonic(trees.margin(x[tuning]), y[tuning]))
+
+
+def score(self, texts: list[str | None]) -> np.ndarray:
+        x = np.array([self.lexicon.features(t) for t in texts]).reshape(len(texts), len(FEATURES))
+        return self.calibration(self.trees.margin(x))
+
+
+def remainder(doc_id: Column) -> Column:
+    """crc32(doc_id as text) mod 5: rows where it is 0 are held out, never learned from. A null id counts as empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
+
+
 def _learn_terms(part: DataFrame) -> list[str]:
     def counts(batches, of: int, known: frozenset | None):
         import pandas as pd
@@ -181,12 +247,14 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     many rows; other columns play no part; an empty table gives an empty one. One pass without a shuffle.
     """
 
+    own = docs.select(*[docs[c] for c in keep], *([] if "text" in keep else [docs["text"]]))
+    at = own.columns.index("text")
+
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            made = pa.array(model.score(batch.column(len(keep)).to_pylist()))
+            made = pa.array(model.score(batch.column(at).to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], made], names=[*keep, "score"])
 
-    own = docs.select(*[docs[c] for c in keep], docs["text"].cast("string").alias("__text"))
     return own.mapInArrow(run, ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "score double"]))
