@@ -163,7 +163,7 @@ def structured(sentence: Column) -> Column:
 
 def eliminates(sentence: Column, names: Column) -> Column:
     """Whether a sentence rules something out, by a word that the declaration doesn't spell itself."""
-    hit = F.exists(F.split(normalize(sentence), " "), lambda w: w.isin(L.ELIMINATORS) & ~F.array_contains(names, stem(w)))
+    hit = let(names, lambda n: F.exists(F.split(normalize(sentence), " "), lambda w: w.isin(L.ELIMINATORS) & ~F.array_contains(n, stem(w))))
     return sentence.contains("O(") | hit
 
 
@@ -204,5 +204,12 @@ def hollow_sentences(pieces_: Column, names: Column) -> Column:
 
         return let(content(s), by)
 
-    found = F.filter(F.transform(pieces_, one), lambda x: x.isNotNull())
+    given = names
+
+    def all_of(bound: Column) -> Column:
+        nonlocal names
+        names = bound
+        return F.filter(F.transform(pieces_, one), lambda x: x.isNotNull())
+
+    found = let(given, all_of)
     return let(found, lambda x: F.when(F.size(x) >= 2, x).otherwise(F.slice(x, 1, 0)))
