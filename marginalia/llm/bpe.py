@@ -135,23 +135,22 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
-def map_texts(df: DataFrame, each: Callable[[str], tuple], keep: list[str], text: str, fields: str) -> DataFrame:
-    """keep, and the fields that each(text) returns, for every row; a null text counts as empty."""
-    from pyspark.sql.types import _parse_datatype_string
-
-    names = [f.name for f in _parse_datatype_string(fields).fields]
+def map_texts(df: DataFrame, each: Callable[[str], tuple], keep: list[str], text: str, fields: list[tuple[str, str]]) -> DataFrame:
+    """keep, and the fields (name and type) that each(text) returns, for every row; a null text counts as empty."""
+    arrow = {"long": "int64", "string": "string", "array<int>": "list"}
 
     def run(batches):
         import pyarrow as pa
 
+        types = [pa.list_(pa.int32()) if arrow[t] == "list" else pa.type_for_alias(arrow[t]) for _, t in fields]
         for batch in batches:
             rows = [each(t or "") for t in batch.column(len(keep)).to_pylist()]
-            made = [pa.array([r[i] for r in rows]) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=[*keep, *names])
+            made = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=[*keep, *(n for n, _ in fields)])
 
-    kept = df.select(*[df[c] for c in keep])
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), fields])
-    return df.select(*[df[c] for c in keep], df[text].cast("string").alias("__text")).mapInArrow(run, schema)
+    own = df.select(*[df[c] for c in keep], df[text].cast("string").alias("__text"))
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), *(f"{n} {t}" for n, t in fields)])
+    return own.mapInArrow(run, schema)
 
 
 def tokenize(df: DataFrame, path: str, pattern: str, keep: list[str], text: str = "text") -> DataFrame:
@@ -160,16 +159,18 @@ def tokenize(df: DataFrame, path: str, pattern: str, keep: list[str], text: str
     Each match of the pattern is encoded by itself. Null and empty texts give an empty array; equal rows stay as many
     rows; other columns of df play no part, whatever their names; an empty table gives an empty one.
     """
+
     def each(t: str) -> tuple:
         return (codec(path, pattern).encode(t),)
 
-    return map_texts(df, each, keep, text, "ids array<int>")
+    return map_texts(df, each, keep, text, [("ids", "array<int>")])
 
 
 def round_trip(df: DataFrame, path: str, pattern: str, keep: list[str], text: str = "text") -> DataFrame:
     """keep, n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers) and decoded_sha256 (of the
     bytes that the ids decode to) for every row; rows as in tokenize. One pass, no shuffle; memory is bounded by one
     batch of texts and the worker's cache of pieces."""
+
     def each(t: str) -> tuple:
         own = codec(path, pattern)
         n, ids, back = 0, hashlib.sha256(), hashlib.sha256()
@@ -179,4 +180,4 @@ def round_trip(df: DataFrame, path: str, pattern: str, keep: list[str], text: st
             back.update(own.decode(part))
         return n, ids.hexdigest(), back.hexdigest()
 
-    return map_texts(df, each, keep, text, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_texts(df, each, keep, text, [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")])

@@ -75,10 +75,13 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> gbt.T
     """Trees for labels.quality over the statistics of at most `most` labelled documents."""
 
     def run(batches):
-        for pdf in batches:
-            yield pdf.assign(x=[statistics(t)[1] for t in pdf["text"]])[["x", "y"]]
+        import pyarrow as pa
+
+        for batch in batches:
+            made = [statistics(t)[1] for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
-    rows = labelled_sample(docs, labels, "quality", most).select("text", "y").mapInPandas(run, "x array<double>, y int").collect()
+    rows = labelled_sample(docs, labels, "quality", most).select("text", "y").mapInArrow(run, "x array<double>, y int").collect()
     x = np.array([r.x for r in rows]).reshape(len(rows), len(FEATURES))
     return gbt.fit(x, np.array([float(r.y) for r in rows]), MONOTONE, trees=50)
 

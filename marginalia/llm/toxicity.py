@@ -24,6 +24,8 @@ from marginalia.llm.quality import labelled_sample
 MAX_LABELLED = 20_000
 #: Terms of the lexicon at most, and candidates from which they are chosen.
 MAX_TERMS, MAX_CANDIDATES = 2_000, 20_000
+#: Labelled rows from which on a quarter of them is set apart for the calibration.
+TUNED = 200
 #: A term is taken if it is so many times as frequent in toxic documents as in others.
 LIFT = 8.0
 
@@ -100,7 +102,7 @@ class Lexicon:
             for token in _TOKEN.findall(low):
                 if _HIDDEN.search(token):
                     hidden += 1
-                    hidden_hits += token.strip("0134578@$*!|").translate(_LEET) in COMMON
+                    hidden_hits += any(t.translate(_LEET) in COMMON for t in (token, token.rstrip("!|*"), token.strip("0134578@$*!|")))
         for m in _SPACED.finditer(low):
             hidden += 1
             hidden_hits += m.group().translate(_LEET) in COMMON
@@ -131,18 +133,20 @@ def remainder(doc_id: Column) -> Column:
 def _learn_terms(sample: DataFrame) -> list[list[str]]:
     """The terms learned without the first half, without the second half, and from both."""
 
-    def counts(batches, of: int, known: frozenset | None):
-        import pandas as pd
+    def counts(batches, known: frozenset | None):
+        import pyarrow as pa
 
         found: Counter = Counter()
-        for pdf in batches:
-            for t, half in zip(pdf["text"], pdf["half"]):
+        for batch in batches:
+            for t, half in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 mine = terms(t or "")
                 found.update((x, half) for x in (mine if known is None else mine & known))
-        yield pd.DataFrame([(t, h, n) for (t, h), n in found.items()], columns=["term", "half", "n"])
+        keys = list(found)
+        columns = [pa.array([t for t, _ in keys], pa.string()), pa.array([h for _, h in keys], pa.int32()), pa.array([found[k] for k in keys], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["term", "half", "n"])
 
     def table(of: int, known: frozenset | None):
-        made = sample.filter(F.col("y") == of).select("text", "half").mapInPandas(lambda it: counts(it, of, known), "term string, half int, n long")
+        made = sample.filter(F.col("y") == of).select("text", "half").mapInArrow(lambda it: counts(it, known), "term string, half int, n long")
         by_half = [F.coalesce(F.sum(F.when(F.col("half") == h, F.col("n"))), F.lit(0)).alias(f"n{h}") for h in (0, 1)]
         return made.groupBy("term").agg(*by_half, F.sum("n").alias("n"))
 
@@ -164,7 +168,7 @@ def _learn_terms(sample: DataFrame) -> list[list[str]]:
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
     """A model of labels.toxic, from at most `most` labelled documents whose remainder is not 0. Without labels of both
-    kinds, it is a constant."""
+    kinds it is a constant, their mean, or 0 without any. Of fewer than TUNED rows, all teach both trees and calibration."""
     from marginalia.llm.common import freeze
 
     rows = labelled_sample(docs, labels, "toxic", most, lambda i: remainder(i) != 0)
@@ -172,74 +176,25 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model
     lexicons = [Lexicon(t) for t in _learn_terms(sample)]
 
     def run(batches):
-        for pdf in batches:
-            yield pdf.assign(x=[lexicons[h].features(t) for t, h in zip(pdf["text"], pdf["half"])])[["x", "y", "draw"]]
+        import pyarrow as pa
+
+        for batch in batches:
+            made = [lexicons[h].features(t) for t, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.float64())), batch.column(2), batch.column(3)], names=["x", "y", "draw"])
 
-    found = sample.select("text", "half", "y", "draw").mapInPandas(run, "x array<double>, y int, draw long").collect()
+    found = sample.select("text", "half", "y", "draw").mapInArrow(run, "x array<double>, y int, draw long").collect()
     x = np.array([r.x for r in found]).reshape(len(found), len(FEATURES))
     y = np.array([float(r.y) for r in found])
     tuning = np.array([r.draw // 2 % 4 == 0 for r in found], dtype=bool)
-    trees = gbt.fit(x[~tuning], y[~tuning], MONOTONE)
+    teaching = ~tuning
+    if len(y) < TUNED:
+        tuning = teaching = np.ones(len(y), dtype=bool)
+    trees = gbt.fit(x[teaching], y[teaching], MONOTONE)
+    if not len(y) or y.min() == y.max():
+        return Model(lexicons[2], trees, gbt.Isotonic(np.zeros(1), np.array([y.mean() if len(y) else 0.0])))
     return Model(lexicons[2], trees, gbt.isotonic(trees.margin(x[tuning]), y[tuning]))
 
 
-def score(self, texts: list[str | None]) -> np.ndarray:
-        x = np.array([self.lexicon.features(t) for t in texts]).reshape(len(texts), len(FEATURES))
-        return self.calibration(self.trees.margin(x))
-
-
-def remainder(doc_id: Column) -> Column:
-    """crc32(doc_id as text) mod 5: rows where it is 0 are held out, never learned from. A null id counts as empty text."""
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
-
-
-def _learn_terms(part: DataFrame) -> list[str]:
-    def counts(batches, of: int, known: frozenset | None):
-        import pandas as pd
-
-        found: Counter = Counter()
-        for pdf in batches:
-            for t in pdf.loc[pdf["y"] == of, "text"]:
-                mine = terms(t or "")
-                found.update(mine if known is None else mine & known)
-        yield pd.DataFrame({"term": list(found), "n": list(found.values())}, columns=["term", "n"])
-
-    def table(of: int, known: frozenset | None):
-        made = part.select("text", "y").mapInPandas(lambda it: counts(it, of, known), "term string, n long")
-        return made.groupBy("term").agg(F.sum("n").alias("n"))
-
-    sizes = {r.y: r.n for r in part.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
-    if not toxic or not clean:
-        return []
-    least = max(3, int(0.004 * toxic))
-    often = {r.term: r.n for r in table(1, None).filter(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES).collect()}
-    other = {r.term: r.n for r in table(0, frozenset(often)).collect()}
-    lift = {t: (n + 0.5) / (toxic + 1) / ((other.get(t, 0) + 0.5) / (clean + 1)) for t, n in often.items()}
-    good = sorted((t for t in lift if lift[t] >= LIFT), key=lambda t: (-often[t] * math.log(lift[t]), t))
-    return good[:MAX_TERMS]
-
-
-def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
-    """A model of labels.toxic, from at most `most` labelled documents whose remainder is not 0."""
-    from marginalia.llm.common import freeze
-
-    sample = freeze(labelled_sample(docs, labels, "toxic", most, lambda i: remainder(i) != 0), "toxic-sample")
-    part = F.pmod("draw", F.lit(8))
-    lexicon = Lexicon(_learn_terms(sample.filter(part < 3)))
-
-    def run(batches):
-        for pdf in batches:
-            yield pdf.assign(x=[lexicon.features(t) for t in pdf["text"]])[["x", "y", "draw"]]
-
-    rows = sample.filter(part >= 3).select("text", "y", "draw").mapInPandas(run, "x array<double>, y int, draw long").collect()
-    x = np.array([r.x for r in rows]).reshape(len(rows), len(FEATURES))
-    y = np.array([float(r.y) for r in rows])
-    tuning = np.array([r.draw % 8 >= 6 for r in rows], dtype=bool)
-    trees = gbt.fit(x[~tuning], y[~tuning], MONOTONE)
-    return Model(lexicon, trees, gbt.isotonic(trees.margin(x[tuning]), y[tuning]))
-
-
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """keep and score, the calibrated probability of toxicity, for every row.
 
