@@ -16,9 +16,9 @@ def first_sightings(findings: DataFrame) -> DataFrame:
     return findings.dropDuplicates(["session", "path", "key"])
 
 
-def fading_sightings(findings: DataFrame, hours: int = L.STALE_HOURS, late: str = "1 hour") -> DataFrame:
-    """As first_sightings, but forgetting what lies further back than the limit, so that the state stays bounded."""
-    return findings.withWatermark("ts", late).dropDuplicatesWithinWatermark(["session", "path", "key"]) if hours <= 0 else findings.withWatermark("ts", f"{hours} hours").dropDuplicatesWithinWatermark(["session", "path", "key"])
+def fading_sightings(findings: DataFrame, hours: int = L.STALE_HOURS) -> DataFrame:
+    """As first_sightings, but a key is forgotten once the watermark is `hours` past it, so the state stays bounded."""
+    return findings.withWatermark("ts", f"{hours} hours").dropDuplicatesWithinWatermark(["session", "path", "key"])
 
 
 def write_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
