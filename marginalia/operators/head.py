@@ -95,3 +95,26 @@ def stability(rows: DataFrame, order: str) -> DataFrame:
     halves = rows.withColumn("half", half)
     one, two = (directions(halves.filter((F.col("half") == h) | (F.col("label") == 0))).withColumnRenamed("direction", f"d{h}") for h in (0, 1))
     return one.join(F.broadcast(two), "class").select("class", dot(F.col("d0"), F.col("d1")).alias("cosine"))
+
+
+def fingerprint(examples: list[tuple[str, str]]) -> int:
+    """FNV-1a, 64 bits, over the labelled texts in their order: any change of the corpus makes another number."""
+    h = 0xCBF29CE484222325
+    for text, label in examples:
+        for b in f"{label}={text}\0".encode():
+            h = (h ^ b) * 0x100000001B3 % 2**64
+    return h
+
+
+def save(head: DataFrame, path: str, mark: int) -> None:
+    """Writes a head with the fingerprint of the corpus that it was fitted on."""
+    head.withColumn("fingerprint", F.lit(str(mark)).cast("decimal(20,0)")).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load(spark, path: str, mark: int, width: int, classes: int) -> DataFrame:
+    """A head as save() wrote it; refused if it is of another corpus, or has other classes or another width."""
+    found = spark.read.parquet(path)
+    good = found.filter((F.col("fingerprint") == F.lit(str(mark)).cast("decimal(20,0)")) & (F.size("direction") == width))
+    if good.count() != classes or found.count() != classes:
+        raise ValueError(f"the head in {path} doesn't fit its corpus")
+    return good.drop("fingerprint")

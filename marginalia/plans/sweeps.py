@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marginalia.functions import lexicon as LX
 from marginalia.operators import audit
+from marginalia.operators import leftover as LO
+from marginalia.plans import sql
 from marginalia.plans.registry import query
 from marginalia.plans.text import doc_lines, doc_lines_sql
 from marginalia.sources import scan as S
+from marginalia.sources import sinks
 
 #: Language by doc_id % 6: its name, the mark of a comment, a code line.
 KINDS = [("python", "# ", "x = 1"), ("go", "// ", "x := 1"), ("yaml", "# ", "key: 1"), ("bash", "# ", "x=1"), ("rust", "// ", "let x = 1;"), ("javascript", "// ", "let x = 1;")]
@@ -42,3 +46,31 @@ def scan_comments(spark, sf_dir):
 def sweep_findings(spark, sf_dir):
     """The whole sweep; its recognisers are beyond SQL, so tests hold it against fixtures."""
     return audit.judge(audit.comments(S.scan(sources(spark, sf_dir)))).select("path", "line", "class", F.round("score", 6).alias("score"), F.col("key").cast("string").alias("key"))
+
+
+_BUILD = f"select doc_id, pos, case when pos % 3 = 0 then 'RUN ' || raw when pos % 3 = 1 then 'Run ' || raw else raw end as body from {doc_lines_sql()}"
+
+
+@query(f"select doc_id, pos, coalesce((string_split(trim(body), ' '))[1] in {sql.among(LX.DOCKER)} and len(list_filter(regexp_split_to_array(body, '[\\s]+'), lambda w: w <> '')) > 1 and strlen(body) <= 16384, false) as code from ({_BUILD})")
+def leftover_dockerfile(spark, sf_dir):
+    own = doc_lines(spark, sf_dir)
+    body = F.when(F.col("pos") % 3 == 0, F.concat(F.lit("RUN "), "raw")).when(F.col("pos") % 3 == 1, F.concat(F.lit("Run "), "raw")).otherwise(F.col("raw"))
+    own = own.select("doc_id", "pos", F.lit("dockerfile").alias("language"), body.alias("body"), F.lit("").alias("above"), F.lit(0).alias("col"))
+    return LO.mark(own).select("doc_id", "pos", F.col("leftover").alias("code"))
+
+
+@query("select doc_id, pos, pos % 3 = 0 as code from (select doc_id, unnest(range(len(string_split(text, chr(10)))))::int as pos from documents)")
+def leftover_statements(spark, sf_dir):
+    """Bodies of one statement each, in the language of the document, and plain words beside them."""
+    own = doc_lines(spark, sf_dir).drop("raw")
+    kinds = [("python", "value = compute(1)"), ("go", "value := compute(1)"), ("yaml", "spec:\n  value: 1"), ("javascript", "value = compute(1);"), ("rust", "let value = compute(1);")]
+    pick = lambda i: F.element_at(F.array(*[F.lit(k[i]) for k in kinds]), (F.col("doc_id") % len(kinds) + 1).cast("int"))
+    body = F.when(F.col("pos") % 3 == 0, pick(1)).when(F.col("pos") % 3 == 1, "the value is computed once").otherwise("see the notes of the first version")
+    own = own.select("doc_id", "pos", pick(0).alias("language"), body.alias("body"), F.lit("").alias("above"), F.lit(0).alias("col"))
+    return LO.mark(own).select("doc_id", "pos", F.col("leftover").alias("code"))
+
+
+@query()
+def harvest_sentences(spark, sf_dir):
+    """Sentences of documentation in the sources above."""
+    return sinks.harvest(audit.comments(S.scan(sources(spark, sf_dir))))
