@@ -47,14 +47,12 @@ def judge(made: DataFrame) -> DataFrame:
     phrases, objects to."""
     functions = F.col("language").isin([n for n, (_, _, has) in LANGUAGES.items() if has])
     own = made.filter(~P.notice(F.col("body")) | F.col("buried"))
-    maybe = LO.candidate(F.col("language"), F.col("text"), F.col("docstring"), F.col("trailing"))
-    code = LO.mark(own.filter(maybe))
-    own = code.unionByName(own.filter(~maybe).withColumn("leftover", F.lit(False)))
+    own = LO.mark(own, LO.candidate(F.col("language"), F.col("text"), F.col("docstring"), F.col("trailing")))
     names = F.coalesce("under.words", F.array().cast("array<string>"))
     echo = F.coalesce(F.col("under.one_line"), F.lit(False)) & F.col("buried") & ~F.col("docstring") & ~F.col("trailing") & rules.echoes(F.col("text"), names)
     documents = F.when(F.col("docstring"), F.size("declared") > 0).otherwise(~F.col("buried") & (F.coalesce(F.col("under.kind"), F.lit("")) == "definition"))
     hollow = P.hollow_sentences(P.split(F.col("text")), F.col("declared"))
-    hollow = F.when(documents & ~F.col("trailing") & ~F.col("heads") & functions, hollow).otherwise(F.slice(hollow, 1, 0))
+    hollow = F.when(documents & ~F.col("trailing") & ~F.col("heads") & functions, hollow).otherwise(F.array().cast("array<struct<at:int,why:string,text:string>>"))
     own = own.withColumns({"echo": echo, "hollow": hollow, "n": P.sentences(F.col("text"))})
     verdict = rules.inspect(F.col("leftover"), F.col("echo"), F.col("hollow"), F.col("n"))
     phrase = F.when(P.compat(F.col("text")), F.struct(F.lit("phrase").alias("class"), F.lit(0.5).alias("score")))

@@ -295,11 +295,13 @@ def candidate(language: Column, text: Column, docstring: Column, trailing: Colum
     return ~docstring & ~trailing & (of("evidence") | of("legal") | (of("strict") & P.code(text)))
 
 
-def mark(comments: DataFrame) -> DataFrame:
-    """comments (with language, body, above and col) with leftover: whether the body is code. Filter on candidate() first:
-    Python reads every row that gets here."""
+def mark(comments: DataFrame, maybe: Column | None = None) -> DataFrame:
+    """comments (with language, body, above and col) with leftover: whether the body is code. Of rows that `maybe` (see
+    candidate()) leaves out, Python never sees the body."""
     names = [c for c in comments.columns if c != "leftover"]
-    own = comments.select(*names, P.dedent(F.col("body")).alias("__body"))
+    bound = F.lit(True) if maybe is None else maybe
+    body = F.when(bound & (F.octet_length("body") <= L.PARSED_BYTES), P.dedent(F.col("body")))
+    own = comments.select(*names, body.alias("__body"))
     at = [own.columns.index(c) for c in ("language", "__body", "above", "col")]
 
     def run(batches):
@@ -307,7 +309,7 @@ def mark(comments: DataFrame) -> DataFrame:
 
         for batch in batches:
             rows = zip(*(batch.column(i).to_pylist() for i in at))
-            made = pa.array([recognise(a or "", b or "", c or "", d or 0) for a, b, c, d in rows], pa.bool_())
+            made = pa.array([b is not None and recognise(a or "", b, c or "", d or 0) for a, b, c, d in rows], pa.bool_())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], made], names=[*names, "leftover"])
 
     schema = T.StructType([own.schema[c] for c in names] + [T.StructField("leftover", T.BooleanType())])
