@@ -2,24 +2,45 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import bpe, dartminhash, linededup, mixing, toxicity
-from marginalia.llm.common import freeze
+from marginalia.llm.common import collecting, discard, freeze
 from marginalia.llm.queries import WEIGHTS
 from marginalia.ship import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+_tables: list[str] = []
+
+
+def stage(f):
+    """A stage that first deletes what the stages before it wrote for themselves: their results are written by now, which is
+    seen from the files that docs reads. So a stage's result has to be written before the next one is called."""
+
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        read = docs.inputFiles()
+        old = [p for p in _tables if not any(p.rpartition("/")[2] in r for r in read)]
+        discard(spark, old)
+        _tables[:] = [p for p in _tables if p not in old]
+        with collecting(_tables):
+            return f(spark, docs, sf_dir)
+
+    return run
 
 
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the calibrated model takes for toxic (a score of 0.5 or more) go; the others stay as they are."""
-    ship(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model, COLUMNS).filter(F.col("score") < 0.5).select(COLUMNS)
 
 
+@stage
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of line runs of 50 words or more are cut out. A document of which that leaves no word goes with them;
     one that had no words before stays. n_chars follows the text."""
@@ -29,22 +50,23 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
 
+@stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates one row stays, that of least doc_id. Rows of null text are in no class and stay."""
-    ship(spark)
     return dartminhash.near_classes(docs.select(COLUMNS), keep=["text", "lang", "source", "n_chars"]).filter("kept").select(COLUMNS)
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the slots that their sources' target weights give them."""
     return mixing.mixed(docs.select(COLUMNS), WEIGHTS, order=["doc_id"])
 
 
+@stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of what they decode to, for every document, in the mixed order."""
     import public_tokenizers
 
-    ship(spark)
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ["doc_id"])
 
 
@@ -63,6 +85,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written as Parquet to the shared folder and read again as the next one's documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = freeze(stage(spark, docs, sf_dir), name)
+    for name, f in STAGES[:-1]:
+        docs = freeze(f(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

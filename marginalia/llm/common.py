@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.shared import shared_dir
+
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,20 +19,9 @@ HOT_KEYS = 1000
 SAFE_ROWS = 200_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; a temporary one of ours only where it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="marginalia-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        atexit.register(_remove, base[len("file://") :])
-    return base.rstrip("/")
-
-
-def _remove(path: str) -> None:
-    import shutil
-
-    shutil.rmtree(path, ignore_errors=True)
+#: Rows of a batch that are Python objects at one time.
+SLICE = 512
+_collecting: list[list[str]] = []
 
 
 def freeze(df: DataFrame, name: str) -> DataFrame:
@@ -39,7 +29,38 @@ def freeze(df: DataFrame, name: str) -> DataFrame:
     ids drawn from row positions."""
     path = f"{shared_dir(df.sparkSession)}/marginalia/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    for made in _collecting:
+        made.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.frozen = path
+    return out
+
+
+@contextmanager
+def collecting(made: list[str] | None = None):
+    """Gathers the paths of all tables that are frozen inside, so that they can be discarded once nothing reads them."""
+    made = [] if made is None else made
+    _collecting.append(made)
+    try:
+        yield made
+    finally:
+        _collecting.pop()
+
+
+def discard(spark: SparkSession, paths: list[str], keep: tuple = ()) -> None:
+    """Deletes frozen tables, but for those to keep."""
+    kept = {df.frozen for df in keep}
+    for path in paths:
+        if path not in kept:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def sliced(batches):
+    """Arrow batches in parts of a few rows, so that of long texts only few are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
 
 
 def lookup(big: DataFrame, small: DataFrame, key: str, weight: str, total: int, how: str = "left") -> DataFrame:

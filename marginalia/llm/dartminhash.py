@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import SAFE_ROWS, freeze, lookup
+from marginalia.llm.common import SAFE_ROWS, collecting, discard, freeze, lookup, sliced
 
 #: Words in a shingle, similarity of a pair, coordinates in a band and bands. At similarity 0.8 a pair shares no band with
 #: probability (1 - 0.8**6)**40, about 5 in a million.
@@ -188,7 +188,7 @@ def near_classes(df: DataFrame, similarity: float = SIMILARITY, words: int = WOR
     def sketch(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches):
             keys, sizes, made = [], [], []
             for t in batch.column(at).to_pylist():
                 elements, weights = shingles(t or "", words)
@@ -204,6 +204,18 @@ def near_classes(df: DataFrame, similarity: float = SIMILARITY, words: int = WOR
 
     schema = ", ".join(["doc_id long, __uid long", *(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), "__key binary, __n long, __bands array<long>"])
     docs = freeze(own.mapInArrow(sketch, schema), "sketches")
+    with collecting() as made:
+        by_key = _classes(df, docs, similarity, words, counted)
+        shared = by_key.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    discard(df.sparkSession, made, keep=(by_key,))
+    out = lookup(docs.drop("__n", "__bands"), by_key, "__key", "copies", max(1, shared))
+    alone = F.col("class_size").isNull()
+    keeps = (alone | (F.col("keeper") == F.col("__uid"))).alias("kept")
+    return out.select("doc_id", *keep, F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), keeps)
+
+
+def _classes(df: DataFrame, docs: DataFrame, similarity: float, words: int, counted: bool) -> DataFrame:
+    """Of each text that isn't alone in its class: __key, class_id, class_size, keeper (the row that stays) and copies."""
     nodes = docs.filter("__key is not null").groupBy("__key").agg(F.min("doc_id").alias("doc"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__uid")).alias("first"), F.count("*").alias("copies"), F.max(F.struct("__n", "__bands")).alias("s"))
     nodes = freeze(nodes.select("__key", "doc", "first", "copies", F.col("s.__n").alias("n"), F.col("s.__bands").alias("bands"), F.monotonically_increasing_id().alias("node")), "nodes")
     placed = nodes.select("node", "n", F.explode("bands").alias("band"))
@@ -229,11 +241,7 @@ def near_classes(df: DataFrame, similarity: float = SIMILARITY, words: int = WOR
     found = freeze(found, "found")
     classes = found.groupBy("root").agg(F.min("doc").alias("class_id"), F.sum("copies").alias("class_size"), F.min("first").alias("first"), F.count("*").alias("nodes")).filter("class_size > 1")
     by_key = lookup(found.select("__key", "root", "copies"), freeze(classes, "classes"), "root", "nodes", max(1, found.count()), "inner")
-    by_key = freeze(by_key.select("__key", "class_id", "class_size", F.col("first.__uid").alias("keeper"), "copies"), "class-of-text")
-    shared = by_key.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
-    out = lookup(docs.drop("__n", "__bands"), by_key, "__key", "copies", max(1, shared))
-    alone = F.col("class_size").isNull()
-    return out.select("doc_id", *keep, F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), (alone | (F.col("keeper") == F.col("__uid"))).alias("kept"))
+    return freeze(by_key.select("__key", "class_id", "class_size", F.col("first.__uid").alias("keeper"), "copies"), "class-of-text")
 
 
 def _sets(df: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int, counted: bool) -> DataFrame:
@@ -245,7 +253,7 @@ def _sets(df: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int, counte
     def each(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches):
             made = [shingles(t, words) for t in batch.column(1).to_pylist()]
             columns = [batch.column(0), pa.array([h.tobytes() for h, _ in made], pa.binary()), pa.array([(c if counted else c[:0]).tobytes() for _, c in made], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["node", "set", "counts"])
@@ -264,7 +272,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float, counted: bool
     def each(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches):
             a, b, *rest = (c.to_pylist() for c in batch.columns)
             keep = [_jaccard(*x, counted) >= similarity for x in zip(*rest)]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marginalia.llm.common import SAFE_ROWS, WORD, freeze, lookup
+from marginalia.llm.common import SAFE_ROWS, WORD, collecting, discard, freeze, lookup
 
 #: A run is long enough if it has so many words.
 MIN_WORDS = 50
@@ -111,9 +111,11 @@ def dedup(df: DataFrame, min_words: int = MIN_WORDS, text: str = "text") -> Data
     docs = freeze(df.select(*own, F.monotonically_increasing_id().alias("__uid")), "documents")
     lines = docs.select(F.col("doc_id"), F.col("__uid").alias("uid"), F.posexplode(F.split(text, "\n")).alias("line", "own"))
     lines = lines.select("doc_id", "uid", "line", F.unhex(F.md5(F.col("own").cast("binary"))).alias("key"), F.regexp_count("own", F.lit(WORD)).alias("words"))
-    copies = repeats(freeze(lines, "lines"), min_words)
-    gone = copies.select("uid", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("line")).distinct()
-    gone = freeze(gone.groupBy(F.col("uid").alias("__uid")).agg(F.array_sort(F.collect_list("line")).alias("__gone")), "deleted")
+    with collecting() as made:
+        copies = repeats(freeze(lines, "lines"), min_words)
+        gone = copies.select("uid", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("line")).distinct()
+        gone = freeze(gone.groupBy(F.col("uid").alias("__uid")).agg(F.array_sort(F.collect_list("line")).alias("__gone")), "deleted")
+    discard(df.sparkSession, made, keep=(gone,))
     rows, places = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("__gone")), F.lit(0))).first()
     joined = docs.join(F.broadcast(gone) if rows + places // 8 <= SAFE_ROWS else gone, "__uid", "left")
     parts = F.split(text, "\n")

@@ -17,7 +17,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import lookup, shared_dir
+from marginalia.llm.common import freeze, lookup
+from marginalia.shared import shared_dir
 
 MAGIC = b"\x1f\x8b\x08"
 #: Payloads of fewer bytes are always written whole.
@@ -201,8 +202,6 @@ def marked(pages: DataFrame) -> DataFrame:
     own = own.withColumn("sha1", F.sha1("payload"))
     long = own.filter(F.octet_length("payload") >= LEAST_REVISIT)
     groups = long.groupBy("sha1").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).filter("n > 1 and largest is not null")
-    from marginalia.llm.common import freeze
-
     groups = freeze(groups, "payload-groups")
     total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     joined = lookup(own, groups, "sha1", "n", max(total, 1))
