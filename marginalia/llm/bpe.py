@@ -15,6 +15,8 @@ from itertools import islice
 
 from pyspark.sql import DataFrame
 
+from marginalia.llm.common import sliced
+
 #: Pieces of a text taken at once, so that a very long text never becomes one list.
 CHUNK = 1 << 16
 #: Encoded pieces that a worker keeps.
@@ -143,7 +145,7 @@ def map_texts(df: DataFrame, each: Callable[[str], tuple], keep: list[str], text
         import pyarrow as pa
 
         types = [pa.list_(pa.int32()) if arrow[t] == "list" else pa.type_for_alias(arrow[t]) for _, t in fields]
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [each(t or "") for t in batch.column(len(keep)).to_pylist()]
             made = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=[*keep, *(n for n, _ in fields)])

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm import gbt
+from marginalia.llm.common import sliced
 
 #: Labelled rows that the model is fitted on at most: those of least hash, so a bounded sample that any run draws alike.
 MAX_LABELLED = 20_000
@@ -77,7 +78,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> gbt.T
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches):
             made = [statistics(t)[1] for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
@@ -97,7 +98,7 @@ def judge(docs: DataFrame, model: gbt.Trees, keep: list[str], threshold: float =
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches):
             found = [statistics(t) for t in batch.column(len(keep)).to_pylist()]
             base = np.array([f[0] for f in found], dtype=np.int64).reshape(len(found), len(BASE))
             good = model.probability(np.array([f[1] for f in found]).reshape(len(found), len(FEATURES)))

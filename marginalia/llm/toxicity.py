@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm import gbt
+from marginalia.llm.common import freeze, sliced
 from marginalia.llm.quality import labelled_sample
 
 #: Labelled rows that are learned from at most: those of least hash.
@@ -137,7 +138,7 @@ def _learn_terms(sample: DataFrame) -> list[list[str]]:
         import pyarrow as pa
 
         found: Counter = Counter()
-        for batch in batches:
+        for batch in sliced(batches):
             for t, half in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 mine = terms(t or "")
                 found.update((x, half) for x in (mine if known is None else mine & known))
@@ -169,8 +170,6 @@ def _learn_terms(sample: DataFrame) -> list[list[str]]:
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
     """A model of labels.toxic, from at most `most` labelled documents whose remainder is not 0. Without labels of both
     kinds it is a constant, their mean, or 0 without any. Of fewer than TUNED rows, all teach both trees and calibration."""
-    from marginalia.llm.common import freeze
-
     rows = labelled_sample(docs, labels, "toxic", most, lambda i: remainder(i) != 0)
     sample = freeze(rows.withColumn("half", F.pmod("draw", F.lit(2)).cast("int")), "toxic-sample")
     lexicons = [Lexicon(t) for t in _learn_terms(sample)]
@@ -178,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches):
             made = [lexicons[h].features(t) for t, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.float64())), batch.column(2), batch.column(3)], names=["x", "y", "draw"])
 
@@ -208,7 +207,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches):
             made = pa.array(model.score(batch.column(at).to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], made], names=[*keep, "score"])
 
