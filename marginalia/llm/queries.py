@@ -130,5 +130,43 @@ select p.page_id, n as payload_bytes, p.digest as payload_digest, case when p.pa
 """
 
 
+_OP8 = r"""
+with recursive n as (select text, min(doc_id) as node from documents where text is not null group by text),
+w as (select node, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from n),
+s as (select node, unnest(list_distinct(case when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) end)) as x from w where len(w) > 0),
+c as (select node, count(*) as n from s group by node),
+p as (select a.node as a, b.node as b, count(*) as m from s a join s b on a.x = b.x and a.node < b.node group by a.node, b.node),
+e as (select a, b from p join c ca on ca.node = a join c cb on cb.node = b where m >= 0.8 * (ca.n + cb.n - m)),
+f as (select a, b from e union all select b, a from e),
+reach as (select node, node as other from n union select reach.node, f.b from reach join f on f.a = reach.other),
+k as (select node, min(other) as class_id from reach group by node),
+d as (select doc_id, coalesce(class_id, doc_id) as class_id, documents.text is null as none from documents left join n on n.text = documents.text left join k using (node))
+select doc_id, class_id, case when none then 1 else count(*) over (partition by class_id) end as class_size, none or doc_id = class_id as kept from d
+"""
+
+_CLASS = "case when source in (" + ", ".join(f"'{s}'" for s in WEIGHTS) + ") then source else '*' end"
+_WEIGHT = "case x " + " ".join(f"when '{s}' then {w}" for s, w in WEIGHTS.items()) + " else 1 end"
+_OP9 = f"""
+with recursive c as (select {_CLASS} as s, count(*) as n from documents group by 1),
+g as (select list(s order by s) as names, list(n order by s) as n from c),
+w as (select names, n, list_transform(names, lambda x: ({_WEIGHT})::bigint) as w from g),
+r as (
+  select 0::bigint as pos, 0::bigint as base, n as remain, list_transform(n, lambda x: 0::bigint) as got, list_transform(n, lambda x: x > 0) as act, 0::bigint as pick, 0::bigint as nth, 0::bigint as rel, 0::bigint as due from w
+  union all
+  select case when ok then pos + 1 else pos end, case when ok then base else pos end,
+    case when ok then list_transform(remain, lambda x, i: case when i = p.i then x - 1 else x end) else remain end,
+    case when ok then list_transform(got, lambda x, i: case when i = p.i then x + 1 else x end) else list_transform(got, lambda x: 0::bigint) end,
+    case when ok then act else list_transform(remain, lambda x: x > 0) end,
+    case when ok then p.i else 0 end, case when ok then n[p.i] - remain[p.i] else -1 end, base + got[p.i] * total // w[p.i], base + p.due
+  from (select *, remain[p.i] > 0 as ok from (select *, list_sort(list_filter(list_transform(range(1, len(w) + 1), lambda i: case when act[i] and got[i] * total < (pos - base + 1) * w[i]
+      then {{'due': ((got[i] + 1) * total + w[i] - 1) // w[i], 'i': i}} end), lambda x: x is not null))[1] as p
+    from (select r.*, w.w, w.n, list_sum(list_transform(range(1, len(w.w) + 1), lambda i: case when act[i] then w.w[i] else 0 end))::bigint as total from r, w where list_sum(remain) > 0)))
+),
+slots as (select names[pick] as s, nth, pos - 1 as slot, rel, due from r, w where pick > 0),
+d as (select doc_id, source, {_CLASS} as s, row_number() over (partition by {_CLASS} order by doc_id) - 1 as nth from documents)
+select doc_id, source, slot, rel as release, due as deadline from d join slots using (s, nth)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": _OP3, "op4_line_dedup": _OP4, "op5_chat": _OP5, "op7_top_k": _OP7}
+    return {"op3_warc": _OP3, "op4_line_dedup": _OP4, "op5_chat": _OP5, "op7_top_k": _OP7, "op8_dartminhash": _OP8, "op9_mixing": _OP9}
