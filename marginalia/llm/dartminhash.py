@@ -103,8 +103,6 @@ def signature(elements: np.ndarray, weights: np.ndarray | None, k: int, seed: in
         floor = np.arange(high.sum()) - np.repeat(np.cumsum(high) - high, high)
         cells = _mix(_mix(elements + _U(seed))[cell_of] + floor.astype(_U) * _A)
         floor, cell_of = floor.astype(float), weights[cell_of]
-    if weights is None:
-        pass
     low, top = 0, max(1, math.ceil(k * (math.log(k) + 3) / total))
     while missing:
         ranks = np.arange(low, top, dtype=_U)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marginalia.llm.common import freeze, literal_rows
+from marginalia.llm.common import freeze
 
 #: Rows that are permuted within one task, about.
 PIECE = 500_000
@@ -63,7 +63,7 @@ def shuffle(df: DataFrame, shards: int, seed: int = 0, piece: int = PIECE) -> Da
     counts = {r.p: r.n for r in frozen.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
     parts = sorted(counts)
     sent = matrix([counts[p] for p in parts], shards, seed)
-    ends = literal_rows(df.sparkSession, [{"__part": p, "ends": row.tolist()} for p, row in zip(parts, sent.cumsum(axis=1))], "__part: bigint, ends: array<bigint>")
+    ends = df.sparkSession.createDataFrame([(p, row.tolist()) for p, row in zip(parts, sent.cumsum(axis=1))], "__part long, ends array<long>")
     local = Window.partitionBy("__part").orderBy(F.xxhash64("__uid", F.lit(seed)), "__uid")
     rows = frozen.withColumn("__part", part).withColumn("__rank", F.row_number().over(local) - 1)
     rows = rows.join(F.broadcast(ends) if len(parts) * shards <= 1_000_000 else ends, "__part")
