@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marginalia.ship import ship
 
+#: Tables whose rows cost much more to work on than to move.
+TEXTS = {"conversations", "documents", "pages"}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -25,7 +28,11 @@ def query(sql: str | None = None):
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns) -> DataFrame:
-    """A table of the driver, with only the columns that the query needs."""
+    """A table of the driver, with only the columns that the query needs. Texts that lie in fewer files than there are cores
+    are spread over the cores first, as a single row group is a single task; where there are files enough, nothing moves."""
     ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    return df.select(*columns) if columns else df
+    cores = spark.sparkContext.defaultParallelism
+    few = table in TEXTS and len(df.inputFiles()) < cores
+    df = df.select(*columns) if columns else df
+    return df.repartition(cores) if few else df
