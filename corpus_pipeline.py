@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from functools import wraps
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import bpe, dartminhash, linededup, mixing, toxicity
-from marginalia.llm.common import collecting, discard, freeze
+from marginalia.llm.common import collecting, discard, freeze, literal_rows
 from marginalia.llm.queries import WEIGHTS
 from marginalia.ship import ship
 
@@ -62,12 +64,29 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs.select(COLUMNS), WEIGHTS, order=["doc_id"])
 
 
+def placed(docs: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id, text and position (from 0), the place of a row in the order in which its files were written, and how many places
+    there are. A reader takes files by their size; their names count the tasks of an ordered write, and a file keeps its rows' order."""
+    at = docs.metadataColumn("_metadata")
+    rows = docs.select("doc_id", "text", at["file_path"].alias("__file"), at["row_index"].alias("__row"))
+    files = {r["__file"]: r.n for r in rows.groupBy("__file").agg((F.max("__row") + 1).alias("n")).collect()}
+    ordered = sorted(files, key=lambda p: [int(x) if x.isdecimal() else x for x in re.split("([0-9]+)", p)])
+    starts = list(accumulate((files[p] for p in ordered), initial=0))
+    table = literal_rows(docs.sparkSession, [{"file": p, "start": n} for p, n in zip(ordered, starts)], "file: string, start: bigint")
+    table = table.select(F.col("file").alias("__file"), F.col("start").alias("__start"))
+    return rows.join(F.broadcast(table), "__file").select("doc_id", "text", (F.col("__start") + F.col("__row")).alias("position")), starts[-1]
+
+
 @stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of the ids and of what they decode to, for every document, in the mixed order."""
+    """position (from 0) in the mixed order, doc_id, n_tokens and the digests of the ids and of what they decode to, for every
+    document, sorted by position. A task gets an equal stretch of positions, so nothing is sampled and no text encoded twice."""
     import public_tokenizers
 
-    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ["doc_id"])
+    rows, n = placed(docs)
+    made = bpe.round_trip(rows, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ["position", "doc_id"])
+    parts = max(1, min(n, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return made.repartitionById(parts, F.floor(F.col("position") * parts / max(1, n)).cast("int")).sortWithinPartitions("position")
 
 
 STAGES = [
