@@ -128,8 +128,8 @@ _FOUND = f"(select doc_id, pos, case when {S.code('raw')} then 'leftover' when {
 
 
 def findings(spark, sf_dir):
-    """doc_id, pos, class, score and reason, for every fifth line."""
-    own = doc_lines(spark, sf_dir).filter("pos % 5 = 0")
+    """doc_id, pos, class, score and reason, for every line."""
+    own = doc_lines(spark, sf_dir)
     name = F.when(P.code(F.col("raw")), "leftover").when(P.compat(F.col("raw")), "phrase").otherwise("echo")
     own = own.select("doc_id", "pos", name.alias("class"), (1.0 / (1 + P.sentences(F.col("raw")))).alias("score"))
     reason = F.create_map(*[F.lit(x) for kv in rules.REASONS.items() for x in kv])
