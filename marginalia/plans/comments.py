@@ -123,10 +123,10 @@ _PADDING = " The design is simple, easy and robust. It handles the {} value. Use
 
 
 def docs_as_declarations(spark, sf_dir):
-    """doc_id, declaration (the first words) and text: the first line, then sentences that pad it, for two of three documents."""
-    docs = read(spark, sf_dir, "documents", "doc_id", "text").withColumn("first", F.substring(P.lines(F.col("text"))[0], 1, 200))
+    """doc_id, declaration (the first line) and text: all of it, and for two of three documents sentences that pad it."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text").withColumn("first", P.lines(F.col("text"))[0])
     pad = F.replace(F.lit(_PADDING), F.lit("{}"), F.coalesce(F.get(P.fields(F.col("first")), F.lit(0)), F.lit("")))
-    text = F.when(F.col("doc_id") % 3 != 0, F.concat("first", pad)).otherwise(F.col("text"))
+    text = F.when(F.col("doc_id") % 3 != 0, F.concat("text", pad)).otherwise(F.col("text"))
     return docs.select("doc_id", F.col("first").alias("declaration"), text.alias("text"))
 
 
