@@ -171,8 +171,8 @@ select 0 as part, item_id as ord, text, '' as label from benchmark union all sel
 """)
 def exemplar_union(spark, sf_dir):
     one = read(spark, sf_dir, "benchmark", F.lit(0).alias("part"), F.col("item_id").alias("ord"), "text", F.lit("").alias("label"))
-    two = read(spark, sf_dir, "documents", "doc_id", "text").filter("doc_id % 2 = 0")
-    return one.unionByName(two.select(F.lit(1).alias("part"), F.col("doc_id").alias("ord"), F.split("text", "\n")[0].alias("text"), F.lit("document").alias("label")))
+    two = read(spark, sf_dir, "documents", "doc_id", "text")
+    return one.unionByName(two.select(F.lit(1).alias("part"), F.col("doc_id").alias("ord"), "text", F.lit("document").alias("label")))
 
 
 @query("select item_id as ord, text from benchmark b where not exists (select 1 from benchmark m where m.text = b.text and m.item_id % 3 = 0)")
