@@ -66,20 +66,21 @@ def top_k(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
 
     placed = freeze(data.mapInPandas(assign, "vec_id long, v array<long>, cell int, far double, norm double"), "placed")
     by_far = Window.partitionBy("cell").orderBy("far")
-    near = placed.select("cell", "far").withColumn("i", F.row_number().over(by_far)).filter(F.col("i") <= k + 1)
-    near = {r.cell: sorted(r.d) for r in near.groupBy("cell").agg(F.collect_list("far").alias("d")).collect()}
+    near = placed.select("cell", "far", "vec_id").withColumn("i", F.row_number().over(by_far)).filter(F.col("i") <= k + 1)
+    near = {r.cell: sorted(map(tuple, r.d)) for r in near.groupBy("cell").agg(F.collect_list(F.struct("far", "vec_id")).alias("d")).collect()}
     cells = {r.cell: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far"), F.max("norm").alias("norm")).collect()}
     ids = sorted(cells)
     blocks = {c: -(-cells[c].n // BLOCK) for c in ids}
     chunks = max(1, -(-n_queries // CHUNK))
 
-    def bounds(x: np.ndarray) -> np.ndarray:
-        """For each query, which groups may hold one of its k best. One of the k + 1 rows that vouch for the lower bound
-        may be the query's own, so k remain."""
+    def bounds(x: np.ndarray, mine: np.ndarray) -> np.ndarray:
+        """For each query, which groups may hold one of its k best. Rows of the query's own vec_id, however many, don't
+        vouch for its lower bound."""
         own = pivots[ids]
         size, product, d = np.sqrt((x**2).sum(1)), x @ own.T, _distances(x, own)
-        low = np.concatenate([product[:, [i]] - size[:, None] * np.array(near[c])[None, :] for i, c in enumerate(ids)], axis=1)
-        sure = -np.partition(-low, k, axis=1)[:, k] if low.shape[1] > k else np.full(len(x), -np.inf)
+        low = np.concatenate([product[:, [i]] - size[:, None] * np.array([far for far, _ in near[c]])[None, :] for i, c in enumerate(ids)], axis=1)
+        low[mine[:, None] == np.array([v for c in ids for _, v in near[c]])[None, :]] = -np.inf
+        sure = -np.partition(-low, k - 1, axis=1)[:, k - 1] if low.shape[1] >= k else np.full(len(x), -np.inf)
         far, norm = np.array([cells[c].far for c in ids]), np.array([cells[c].norm for c in ids])
         gap = np.maximum(d - far, 0)  # no member is nearer to the query
         nearest, rows = d.argmin(1), np.arange(len(x))
@@ -99,7 +100,7 @@ def top_k(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
             rows = []
             for at in range(0, len(pdf), 1024):
                 part = pdf.iloc[at : at + 1024]
-                for i, goes in enumerate(bounds(_matrix(part["v"], width))):
+                for i, goes in enumerate(bounds(_matrix(part["v"], width), part["vec_id"].to_numpy())):
                     for j in np.flatnonzero(goes):
                         rows += [(part["vec_id"].iloc[i], part["v"].iloc[i], ids[j], b) for b in range(blocks[ids[j]])]
             yield pd.DataFrame(rows, columns=["vec_id", "v", "cell", "block"]).assign(chunk=lambda f: [hash(int(x)) * 2654435761 % 2**32 % chunks for x in f["vec_id"]])
@@ -115,11 +116,11 @@ def top_k(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
         for at in range(0, len(asked), 512):
             part = asked.iloc[at : at + 512]
             q, mine = _matrix(part["v"], width), part["vec_id"].to_numpy()
-            take = min(k + 1, m)
+            take = min(k, m)
             if np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * width * m < 2**53:
                 scores = (q @ x.T).astype(np.int64)
                 key = scores * m + np.arange(m - 1, -1, -1)[None, :]  # a higher score first, then a smaller id
-                key = np.where(own[None, :] == mine[:, None], np.iinfo(np.int64).min, key)
+                key = np.where(own[None, :] == mine[:, None], -np.iinfo(np.int64).max, key)  # last: the least that can be negated
                 best = np.argpartition(-key, take - 1, axis=1)[:, :take]
             else:  # beyond what doubles hold exactly: Python's integers
                 scores = np.array([[sum(a * b for a, b in zip(u.tolist(), v.tolist())) for v in given["v"]] for u in part["v"]], dtype=object)
