@@ -12,7 +12,7 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +35,7 @@ def member(record: bytes) -> bytes:
         z = zlib.compressobj(level, zlib.DEFLATED, 31, 9, strategy)
         made = z.compress(record) + z.flush()
         at = made.find(MAGIC, 1)
-        while at > 0 and not _header(made[at : at + BUFFER]):
+        while at > 0 and not _header(memoryview(made)[at:]):
             at = made.find(MAGIC, at + 1)
         if at < 0:
             return made
@@ -57,15 +57,40 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return "\r\n".join(lines).encode("utf-8", "replace") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def _header(data: bytes) -> bytes | None:
+def _header(data: bytes | memoryview) -> bytes | None:
     """The WARC header with which the member at the start of data begins; None if it isn't one."""
-    z, got = zlib.decompressobj(31), b""
+    return _first_header(data[at : at + BUFFER] for at in range(0, len(data), BUFFER))
+
+
+def _first_header(parts: Iterable[bytes | memoryview]) -> bytes | None:
+    """The same of a member that comes in parts. It is decoded as far as its header's blank line, however long that takes;
+    what doesn't begin as a header does is given up at once."""
+    z, got = zlib.decompressobj(31), bytearray()
     try:
-        got = z.decompress(data, 1 << 16)
+        for data in parts:
+            while len(data) and not z.eof:
+                seen = max(0, len(got) - 3)
+                got += z.decompress(data, 1 << 16)
+                data = z.unconsumed_tail
+                if not got.startswith(b"WARC/"[: len(got)]):
+                    return None
+                end = got.find(b"\r\n\r\n", seen)
+                if end >= 0:
+                    return bytes(got[:end]) if _LENGTH.search(got[:end]) else None
     except zlib.error:
-        return None
-    end = got.find(b"\r\n\r\n")
-    return got[:end] if got.startswith(b"WARC/") and end > 0 and _LENGTH.search(got[:end]) else None
+        pass
+    return None
+
+
+def _parts(f, at: int, size: int) -> Iterator[bytes]:
+    """The file from a place on, a little of it first."""
+    step = 1 << 14
+    while at < size:
+        data = f.read_at(min(step, size - at), at)
+        if not data:
+            return
+        yield data
+        at, step = at + len(data), BUFFER
 
 
 def _decode(f, at: int, size: int) -> tuple[bytes, int] | None:
@@ -85,7 +110,7 @@ def _decode(f, at: int, size: int) -> tuple[bytes, int] | None:
 
 def _starts(f, at: int, size: int) -> tuple[bytes, int] | None:
     """The record that starts at a place, and the next place, if one really does."""
-    if _header(f.read_at(min(1 << 14, size - at), at)) is None:
+    if _first_header(_parts(f, at, size)) is None:
         return None
     found = _decode(f, at, size)
     if found and (found[1] == size or f.read_at(3, found[1]) == MAGIC):
