@@ -35,6 +35,8 @@ _POISSON = np.cumsum([math.exp(-1) / math.factorial(n) for n in range(17)])
 _powers: list[np.ndarray] = []
 #: Bytes of a text that are hashed at once.
 _STRETCH = 1 << 20
+#: Cells in which elements are counted, to tell rare from common ones.
+CELLS = 1 << 18
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -176,7 +178,8 @@ def near_classes(df: DataFrame, similarity: float = SIMILARITY, words: int = WOR
     and kept is true for one row of it: that of class_id, of several the first in the input. A null text is alike to none, so its class is itself; texts without words are alike only if they are equal. A class of
     null ids has a null class_id; rows of one doc_id may be in several classes; equal rows stay as many rows; an empty
     table gives an empty one. Equal texts are one node from the start, so copies are never paired; within a band each node
-    is compared with one other, and then only pairs that are still in different classes and whose sizes allow it.
+    is compared with one other, and then only pairs that are still in different classes and that a prefix filter, which
+    loses none, leaves (`_across`).
     """
     keep = [c for c in (keep or []) if c != "doc_id"]
     sent = ["doc_id", "__uid", *keep]
@@ -229,10 +232,8 @@ def _classes(df: DataFrame, docs: DataFrame, similarity: float, words: int, coun
         known = _components(edges)
         labelled = freeze(members.join(known, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("rep"), "labelled")
         mixed = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
-        open_ = freeze(labelled.join(mixed, "band", "left_semi"), "open")
-        one, two = open_.select("band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb")), open_.select("band", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-        fits = (F.least("na", "nb") >= similarity * F.greatest("na", "nb")) & (F.col("ra") != F.col("rb")) & (F.col("a") > F.col("b"))
-        rest = one.join(two, "band").filter(fits).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+        open_ = freeze(labelled.join(mixed, "band", "left_semi").select("node", "root").distinct(), "open")
+        rest = _across(sets.join(open_, "node").select("node", "root", "set", "counts"), similarity, counted).join(first, ["a", "b"], "left_anti")
         edges = freeze(edges.unionByName(_similar(freeze(rest, "rest"), sets, similarity, counted)), "all-links")
     roots = _components(edges)
     found = nodes.select("node", "__key", "doc", "first", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -264,6 +265,80 @@ def _sets(df: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int, counte
     return freeze(texts.mapInArrow(each, "node long, set binary, counts binary"), "sets").dropDuplicates(["node"])
 
 
+def _tokens(elements: bytes, counts: bytes, counted: bool) -> np.ndarray:
+    """A node's shingles as a set; with `counted` each occurrence is an element of its own, so that weights need no case."""
+    h = np.frombuffer(elements, _U)
+    if not counted:
+        return h
+    c = np.frombuffer(counts, np.int64)
+    nth = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+    return _mix(np.repeat(h, c) + nth.astype(_U) * _A)
+
+
+def prefixes(n: int, similarity: float) -> tuple[int, int]:
+    """How many of the first elements of a set of n, in one order for all sets, hold the first common one of any pair that is
+    similar enough: where the partner is no smaller, and where it is no larger."""
+    least = lambda x: math.ceil(x - 1e-9)
+    return n - least(2 * similarity / (1 + similarity) * n) + 1, n - least(similarity * n) + 1
+
+
+def _across(sets: DataFrame, similarity: float, counted: bool) -> DataFrame:
+    """Pairs (a, b), a > b, of nodes with different roots that may be similar enough; sets: node, root, set, counts.
+
+    Exact: two sets that are similar enough have their first common element, in any order of the elements, among the first few
+    of both (`prefixes`), and enough left behind it. The order takes rare elements first, so what many texts share (license
+    lines, templates) comes behind the prefixes and makes no pairs. How rare an element is, is read from counts in CELLS cells;
+    that decides only the work, never the result. Of a prefix element's nodes, those of its commonest class are not paired
+    with each other.
+    """
+
+    def count(batches):
+        import pyarrow as pa
+
+        cells = np.zeros(CELLS, np.int64)
+        for batch in sliced(batches):
+            for s, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                cells += np.bincount((_tokens(s, c, counted) & _U(CELLS - 1)).astype(np.int64), minlength=CELLS)
+        some = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(cells[some])], names=["cell", "n"])
+
+    table = np.zeros(CELLS, np.uint8)
+    seen = sets.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    table[seen.column("cell").to_numpy()] = np.minimum(255, 6 * np.log2(1 + seen.column("n").to_numpy()))
+
+    def heads(batches):
+        import pyarrow as pa
+
+        for batch in sliced(batches):
+            token, place, many, short, size = [], [], [], [], []
+            for s, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                t = _tokens(s, c, counted)
+                own, partner = prefixes(len(t), similarity)
+                token.append(t[np.lexsort((t, table[(t & _U(CELLS - 1)).astype(np.int64)]))[:partner]])
+                place.append(np.arange(1, partner + 1))
+                many.append(partner)
+                short.append(own)
+                size.append(len(t))
+            at, place = np.repeat(np.arange(len(many)), many), np.concatenate(place)
+            columns = [np.concatenate(token).view(np.int64), np.asarray(batch.column(0))[at], np.asarray(batch.column(1))[at], np.array(size)[at], place, place <= np.array(short)[at]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "node", "root", "n", "place", "own"])
+
+    rows = freeze(sets.mapInArrow(heads, "token long, node long, root long, n long, place long, own boolean"), "prefixes")
+    classes = rows.groupBy("token", "root").agg(F.count("*").alias("n"), F.max("own").alias("own"))
+    tokens = classes.groupBy("token").agg(F.sum("n").alias("m"), F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("classes"), F.max("own").alias("own"))
+    tokens = freeze(tokens.filter("classes > 1 and own").select("token", "m", F.col("most.root").alias("most")), "tokens")
+    total = tokens.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    rows = lookup(rows, tokens, "token", "m", total, "inner").withColumn("common", F.col("root") == F.col("most")).select("token", "node", "root", "n", "place", "own", "common")
+    rows = freeze(rows, "shared-prefixes")
+    # The smaller set's own prefix meets the other's; rows of the commonest class meet only those of others.
+    small = rows.filter("own").select("token", F.col("common").alias("side"), F.col("node").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("place").alias("px"))
+    large = rows.select("token", F.explode(F.when(F.col("common"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("side"), F.col("node").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("place").alias("py"))
+    needed = F.ceil(similarity / (1 + similarity) * (F.col("nx") + F.col("ny")) - 1e-9)
+    fits = (F.col("rx") != F.col("ry")) & (F.struct("nx", "x") < F.struct("ny", "y")) & (F.col("nx") >= similarity * F.col("ny") - 1e-9)
+    fits &= 1 + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) >= needed
+    return small.join(large, ["token", "side"]).filter(fits).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float, counted: bool) -> DataFrame:
     """Of the pairs (a, b), those whose sets are similar enough, compared exactly."""
 
