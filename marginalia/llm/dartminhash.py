@@ -233,7 +233,8 @@ def _classes(df: DataFrame, docs: DataFrame, similarity: float, words: int, coun
         labelled = freeze(members.join(known, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("rep"), "labelled")
         mixed = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
         open_ = freeze(labelled.join(mixed, "band", "left_semi").select("node", "root").distinct(), "open")
-        rest = _across(sets.join(open_, "node").select("node", "root", "set", "counts"), similarity, counted).join(first, ["a", "b"], "left_anti")
+        sets = freeze(sets.join(open_, "node").select("node", "root", "set", "counts"), "open-sets")
+        rest = _across(sets, similarity, counted).join(first, ["a", "b"], "left_anti")
         edges = freeze(edges.unionByName(_similar(freeze(rest, "rest"), sets, similarity, counted)), "all-links")
     roots = _components(edges)
     found = nodes.select("node", "__key", "doc", "first", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
