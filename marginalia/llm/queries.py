@@ -55,7 +55,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "embeddings").select("vec_id", topk.whole("embedding").alias("v"))
-    return topk.top_k(rows.filter(F.col("vec_id") % 50 == 0), rows, 5)
+    return topk.top_k_of_rows(rows, F.col("vec_id") % 50 == 0, 5)
 
 
 def op8_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 Data are grouped by their nearest pivot; each group is summed up by its radius, its largest norm and its k least distances
 from the pivot. From these summaries each query gets a score that its k best surely reach, and for each group a score that
-nothing in it exceeds; it is sent only to groups that may hold one of its k best. Groups are cut into blocks of bounded
-size, queries into chunks, each pair of a chunk and a block is solved by a matrix product, and the blocks' best are merged.
+nothing in it exceeds; only groups that may hold one of its k best are needed. Neighbouring groups are packed into blocks of
+bounded size, large ones are cut into several. A query goes to the blocks of the groups it needs, the queries of a block are
+cut into chunks by how many really go there, and a row is copied only to the chunks of its own block, and not at all if no
+query needs its group. Each pair of a chunk and a block is solved by a matrix product, and the blocks' best are merged.
 """
 
 from __future__ import annotations
@@ -13,10 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marginalia.llm.common import freeze
+from marginalia.llm.common import freeze, literal_rows
 
-#: Pivots at most; rows of a block of data and of a chunk of queries.
-PIVOTS, BLOCK, CHUNK = 128, 8192, 4096
+#: Pivots at most (else the root of the number of rows); rows of a block of data and of a chunk of queries.
+PIVOTS, BLOCK, CHUNK = 2048, 8192, 8192
+#: Queries that one task finds the groups of, and numbers in a matrix of bounds.
+ASKS, CELLS = 512, 1 << 22
 
 
 def whole(vector: str) -> Column:
@@ -45,77 +49,118 @@ def top_k(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
     Both tables have vec_id and v, an array of whole numbers (a product beyond 64 bits is an error); rows where either is null take no part.
     A query meets every row of another vec_id, so repeated rows count each; a vec_id that repeats among the queries is
     asked once, with the least of its vectors. Vectors may differ in length: what is missing counts as 0. Fewer than k
-    candidates give fewer rows; an empty table gives none.
+    candidates give fewer rows; an empty table gives none. Where queries are rows of the data themselves, see top_k_of_rows.
     """
-    spark = data.sparkSession
-    data = freeze(data.select(F.col("vec_id").cast("long"), F.col("v").cast("array<long>").alias("v")).dropna(), "vectors")
+    data = data.select(F.col("vec_id").cast("long"), F.col("vec_id").cast("long").alias("own"), F.col("v").cast("array<long>").alias("v")).dropna()
     queries = queries.select(F.col("vec_id").cast("long"), F.col("v").cast("array<long>").alias("v")).dropna()
-    queries = freeze(queries.groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v")).select("vec_id", F.col("vec_id").alias("own"), "v")
+    return _best(freeze(queries, "queries"), freeze(data, "vectors"), k)
+
+
+def top_k_of_rows(rows: DataFrame, asks: Column, k: int) -> DataFrame:
+    """query_id, rank (from 1), vec_id and score: of each row that asks, the k highest scores among all rows but itself.
+
+    rows has vec_id and v as in `top_k`, and nulls, lengths, ties and empty tables are treated as there. A row is itself only:
+    rows that repeat a vec_id ask each for themselves, under the same query_id, and are candidates of each other.
+    """
+    uid = F.monotonically_increasing_id().alias("own")
+    rows = rows.select(F.col("vec_id").cast("long"), uid, F.col("v").cast("array<long>").alias("v"), asks.alias("asks")).dropna(subset=["vec_id", "v"])
+    rows = freeze(rows, "vectors")
+    return _best(rows.filter("asks").drop("asks"), rows.drop("asks"), k)
+
+
+def _best(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id and score. Both tables are frozen and have vec_id, own and v; own is unique among the queries,
+    and rows of the data with the query's own are no candidates of it."""
+    spark = data.sparkSession
     n, width = data.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     n_queries, wide = queries.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    if not n or not n_queries:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     width = max(width, wide, 1)
-    few = data.orderBy(F.xxhash64("vec_id"), "v").limit(4 * PIVOTS).collect() if n else []
+    few = data.orderBy(F.xxhash64("own"), "v").select("v").limit(2 * PIVOTS).collect()
     pivots = np.unique(_matrix([r.v for r in few], width), axis=0)
-    pivots = pivots[np.random.default_rng(7).permutation(len(pivots))[: min(PIVOTS, max(1, int(n**0.5) // 2))]]
+    pivots = pivots[np.random.default_rng(7).permutation(len(pivots))[: min(PIVOTS, max(1, int(n**0.5)))]]
 
     def assign(batches):
         for pdf in batches:
-            d = _distances(_matrix(pdf["v"], width), pivots) if len(pdf) else np.zeros((0, 1))
+            x = _matrix(pdf["v"], width)
+            d = _distances(x, pivots) if len(pdf) else np.zeros((0, 1))
             cell = d.argmin(1) if len(pdf) else np.zeros(0, int)
-            yield pdf.assign(cell=cell, far=d[np.arange(len(pdf)), cell], norm=[float(np.sqrt((np.asarray(v, float) ** 2).sum())) for v in pdf["v"]])
+            yield pdf.assign(cell=cell, far=d[np.arange(len(pdf)), cell], norm=np.sqrt((x**2).sum(1)))
 
-    placed = freeze(data.mapInPandas(assign, "vec_id long, v array<long>, cell int, far double, norm double"), "placed")
+    placed = freeze(data.mapInPandas(assign, "vec_id long, own long, v array<long>, cell int, far double, norm double"), "placed")
     by_far = Window.partitionBy("cell").orderBy("far")
-    near = placed.select("cell", "far", "vec_id").withColumn("i", F.row_number().over(by_far)).filter(F.col("i") <= k + 1)
-    near = {r.cell: sorted(map(tuple, r.d)) for r in near.groupBy("cell").agg(F.collect_list(F.struct("far", "vec_id")).alias("d")).collect()}
+    near = placed.select("cell", "far", "own").withColumn("i", F.row_number().over(by_far)).filter(F.col("i") <= k + 1)
+    near = {r.cell: sorted(map(tuple, r.d)) for r in near.groupBy("cell").agg(F.collect_list(F.struct("far", "own")).alias("d")).collect()}
     cells = {r.cell: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far"), F.max("norm").alias("norm")).collect()}
-    ids = sorted(cells)
-    blocks = {c: -(-cells[c].n // BLOCK) for c in ids}
-    chunks = max(1, -(-n_queries // CHUNK))
+    ids, blocks = _packed({c: r.n for c, r in cells.items()}, pivots)
+    first, many = np.array([blocks[c][0] for c in ids]), np.array([blocks[c][1] for c in ids])
+    own_pivots = pivots[ids]
+    column = np.repeat(np.arange(len(ids)), [len(near[c]) for c in ids])
+    near_far, near_own = (np.array([x[i] for c in ids for x in near[c]]) for i in (0, 1))
+    far, norm = np.array([cells[c].far for c in ids]), np.array([cells[c].norm for c in ids])
+    between_pivots = _distances(own_pivots, own_pivots)
+    step, places = max(1, CELLS // len(column)), np.arange(len(ids))
 
     def bounds(x: np.ndarray, mine: np.ndarray) -> np.ndarray:
-        """For each query, which groups may hold one of its k best. Rows of the query's own vec_id, however many, don't
-        vouch for its lower bound."""
-        own = pivots[ids]
-        size, product, d = np.sqrt((x**2).sum(1)), x @ own.T, _distances(x, own)
-        low = np.concatenate([product[:, [i]] - size[:, None] * np.array([far for far, _ in near[c]])[None, :] for i, c in enumerate(ids)], axis=1)
-        low[mine[:, None] == np.array([v for c in ids for _, v in near[c]])[None, :]] = -np.inf
+        """For each query, which groups may hold one of its k best. Rows with the query's own, however many, don't vouch for
+        its lower bound."""
+        size, product, d = np.sqrt((x**2).sum(1)), x @ own_pivots.T, _distances(x, own_pivots)
+        low = product[:, column] - size[:, None] * near_far[None, :]
+        low[mine[:, None] == near_own[None, :]] = -np.inf
         sure = -np.partition(-low, k - 1, axis=1)[:, k - 1] if low.shape[1] >= k else np.full(len(x), -np.inf)
-        far, norm = np.array([cells[c].far for c in ids]), np.array([cells[c].norm for c in ids])
         gap = np.maximum(d - far, 0)  # no member is nearer to the query
         nearest, rows = d.argmin(1), np.arange(len(x))
-        between = _distances(own, own)[nearest]
+        between = between_pivots[nearest]
         beyond = (d**2 - d[rows, nearest][:, None] ** 2) / (2 * np.maximum(between, 1e-9))  # the groups' border plane
         gap = np.maximum(gap, np.where(between > 0, beyond, 0))
         most = np.minimum(product + size[:, None] * far, (size[:, None] ** 2 + norm**2 - gap**2) / 2)
         most = np.minimum(most, size[:, None] * norm)
         return most + 1e-9 * size[:, None] * (norm + far) + 1e-3 >= sure[:, None]
 
-    def send(batches):
+    def find(batches):
+        for pdf in batches:
+            x, mine, needed = _matrix(pdf["v"], width), pdf["own"].to_numpy(), []
+            for at in range(0, len(pdf), step):
+                needed += [np.flatnonzero(goes) for goes in bounds(x[at : at + step], mine[at : at + step])]
+            goes_to = [np.unique(np.concatenate([np.arange(first[j], first[j] + many[j]) for j in own])) if len(own) else own for own in needed]
+            bits = [np.packbits(np.isin(places, own)).tobytes() for own in needed]
+            yield pdf.assign(cells=bits, blocks=[b.astype(np.int32) for b in goes_to])
+
+    def union(batches):
         import pandas as pd
 
+        some = np.zeros(len(ids), bool)
         for pdf in batches:
-            if not len(pdf):
-                continue
-            rows = []
-            for at in range(0, len(pdf), 1024):
-                part = pdf.iloc[at : at + 1024]
-                for i, goes in enumerate(bounds(_matrix(part["v"], width), part["vec_id"].to_numpy())):
-                    for j in np.flatnonzero(goes):
-                        rows += [(part["vec_id"].iloc[i], part["v"].iloc[i], ids[j], b) for b in range(blocks[ids[j]])]
-            yield pd.DataFrame(rows, columns=["vec_id", "v", "cell", "block"]).assign(chunk=lambda f: [hash(int(x)) * 2654435761 % 2**32 % chunks for x in f["vec_id"]])
+            for b in pdf["cells"]:
+                some |= np.unpackbits(np.frombuffer(b, np.uint8), count=len(ids)).astype(bool)
+        yield pd.DataFrame({"cell": np.asarray(ids, np.int32)[some]})
+
+    schema = "vec_id long, own long, v array<long>, cells binary, blocks array<int>"
+    asked = freeze(queries.repartition(-(-n_queries // ASKS)).mapInPandas(find, schema), "asked")
+    # At most PIVOTS groups, and a block for every BLOCK / 2 rows and group: both tables are small beside the vectors.
+    wanted = freeze(asked.select("cells").mapInPandas(union, "cell int").distinct(), "wanted-groups")
+    loads = asked.select(F.explode("blocks").alias("block")).groupBy("block").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    loads = freeze(loads, "loads")
+    of_cell = literal_rows(spark, [{"cell": int(c), "first": int(blocks[c][0]), "many": int(blocks[c][1])} for c in ids], "cell: int, first: int, many: int")
+    cut = placed.join(F.broadcast(of_cell), "cell").join(F.broadcast(wanted), "cell", "left_semi")
+    cut = cut.select("vec_id", "own", "v", (F.col("first") + F.pmod(F.xxhash64("own", "far"), F.col("many"))).cast("int").alias("block"))
+    cut = cut.join(F.broadcast(loads), "block").select("vec_id", "own", "v", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    sent = asked.select(F.col("vec_id").alias("query_id"), "own", "v", F.explode("blocks").alias("block")).join(F.broadcast(loads), "block")
+    sent = sent.select("query_id", "own", "v", "block", F.pmod(F.xxhash64("own"), F.col("chunks")).cast("int").alias("chunk"))
 
     def solve(asked, given):
         import pandas as pd
 
         if not len(asked) or not len(given):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+            return pd.DataFrame({"query_id": [], "ask": [], "vec_id": [], "score": []}).astype("int64")
         given = given.sort_values("vec_id", kind="stable")
-        x, own = _matrix(given["v"], width), given["vec_id"].to_numpy()
+        x, ids, own = _matrix(given["v"], width), given["vec_id"].to_numpy(), given["own"].to_numpy()
         out, m = [], len(own)
         for at in range(0, len(asked), 512):
             part = asked.iloc[at : at + 512]
-            q, mine = _matrix(part["v"], width), part["vec_id"].to_numpy()
+            q, mine, name = _matrix(part["v"], width), part["own"].to_numpy(), part["query_id"].to_numpy()
             take = min(k, m)
             if np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * width * m < 2**53:
                 scores = (q @ x.T).astype(np.int64)
@@ -128,16 +173,28 @@ def top_k(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
             r = np.repeat(np.arange(len(part)), best.shape[1])
             c = best.ravel()
             keep = own[c] != mine[r]
-            out.append(pd.DataFrame({"query_id": mine[r][keep], "vec_id": own[c][keep], "score": scores[r, c][keep].astype("int64")}))
+            out.append(pd.DataFrame({"query_id": name[r][keep], "ask": mine[r][keep], "vec_id": ids[c][keep], "score": scores[r, c][keep].astype("int64")}))
         return pd.concat(out)
 
-    if not n or not n_queries:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    split = F.create_map(*[F.lit(x) for c in ids for x in (c, blocks[c])])
-    cut = placed.withColumn("block", F.pmod(F.xxhash64("vec_id", "far", F.monotonically_increasing_id()), split[F.col("cell")]).cast("int"))
-    cut = cut.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).select("vec_id", "v", "cell", "block", "chunk")
-    asked = queries.mapInPandas(send, "vec_id long, v array<long>, cell int, block int, chunk int")
-    key = ["cell", "block", "chunk"]
-    found = asked.groupBy(*key).cogroup(cut.groupBy(*key)).applyInPandas(solve, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = sent.groupBy("block", "chunk").cogroup(cut.groupBy("block", "chunk")).applyInPandas(solve, "query_id long, ask long, vec_id long, score long")
+    order = Window.partitionBy("ask").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _packed(sizes: dict[int, int], pivots: np.ndarray) -> tuple[list[int], dict[int, tuple[int, int]]]:
+    """The groups in an order in which neighbours are mostly near each other, and of each its first block and how many it has.
+    Whole groups share a block as long as it holds no more than BLOCK rows; one with more has blocks of its own."""
+    ids = sorted(sizes)
+    own = pivots[ids] - pivots[ids].mean(0)
+    way = np.linalg.svd(own, full_matrices=False)[2][0] if len(ids) > 1 else own[0]
+    ids = [ids[i] for i in np.argsort(own @ way, kind="stable")]
+    blocks, at, filled = {}, 0, 0
+    for c in ids:
+        many = -(-sizes[c] // BLOCK)
+        if filled and (many > 1 or filled + sizes[c] > BLOCK):
+            at, filled = at + 1, 0
+        blocks[c] = (at, many)
+        filled += sizes[c]
+        if many > 1:
+            at, filled = at + many, 0
+    return ids, blocks
