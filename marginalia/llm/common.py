@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.shared import shared_dir
+from marginalia.shared import scratch_dir
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,8 +26,8 @@ _collecting: list[list[str]] = []
 
 def freeze(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read again: cuts lineage, survives lost executors and fixes any
-    ids drawn from row positions."""
-    path = f"{shared_dir(df.sparkSession)}/marginalia/{name}-{uuid.uuid4().hex}"
+    ids drawn from row positions. What isn't discarded before goes when the driver ends."""
+    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     for made in _collecting:
         made.append(path)

@@ -17,8 +17,8 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import freeze, lookup
-from marginalia.shared import shared_dir
+from marginalia.llm.common import collecting, discard, freeze, lookup
+from marginalia.shared import scratch_dir
 
 MAGIC = b"\x1f\x8b\x08"
 #: Payloads of fewer bytes are always written whole.
@@ -118,6 +118,20 @@ def _starts(f, at: int, size: int) -> tuple[bytes, int] | None:
     return None
 
 
+def _is_record(content: bytes) -> bool:
+    """Whether what a member holds begins with a WARC header; a member of anything else is passed over."""
+    end = content.find(b"\r\n\r\n") if content.startswith(b"WARC/") else -1
+    return end >= 0 and _LENGTH.search(content, 0, end) is not None
+
+
+def _files(uri: str):
+    """The file system of a folder or file, and its path there, for tasks, which are outside the JVM: local files, and what
+    Arrow was built with. s3a and s3n are Hadoop's names for s3; hdfs needs libhdfs on the executors."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", uri))
+
+
 def scan(f, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]]:
     """(offset, record) of each record that starts in [start, end). What doesn't decode is passed over."""
     at = start
@@ -136,6 +150,8 @@ def scan(f, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]]:
             yield at, found[0]
             at = found[1]
             found = _decode(f, at, size) if at < end else None
+            if found and not _is_record(found[0]):
+                found = None
 
 
 def parse(content: bytes) -> tuple[dict[str, str], bytes]:
@@ -157,9 +173,8 @@ def write(pages: DataFrame, folder: str) -> list[tuple[str, int]]:
 
     def run(batches):
         import pandas as pd
-        from pyarrow import fs
 
-        where, path = fs.FileSystem.from_uri(folder)
+        where, path = _files(folder)
         where.create_dir(path, recursive=True)
         name, size = f"{path}/{uuid.uuid4().hex}.warc.gz", 0
         with where.open_output_stream(name, compression=None) as out:
@@ -182,7 +197,6 @@ def read(spark: SparkSession, files: list[tuple[str, int]], split: int = SPLIT)
 
     def run(batches):
         import pyarrow as pa
-        from pyarrow import fs
 
         names = ["path", "offset", "page_id", "record_type", "refers_to", "digest", "payload_bytes", "payload"]
         types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
@@ -193,7 +207,7 @@ def read(spark: SparkSession, files: list[tuple[str, int]], split: int = SPLIT)
 
         for ranges in batches:
             for path, size, start in zip(*(c.to_pylist() for c in ranges.columns)):
-                where, own = fs.FileSystem.from_uri(path)
+                where, own = _files(path)
                 rows, held = [], 0
                 with where.open_input_file(own) as f:
                     for at, content in scan(f, size, start, min(size, start + split)):
@@ -234,17 +248,22 @@ def marked(pages: DataFrame) -> DataFrame:
     return joined.select("page_id", "url", "payload", F.when(old, F.col("largest")).alias("refers_to"))
 
 
-def archive(pages: DataFrame, split: int = SPLIT) -> DataFrame:
-    """Writes all pages to archives in the shared folder, reads them back and gives a row for each record: page_id,
-    payload_bytes and payload_digest (of the full payload: recomputed for responses, as the record states it for revisits),
-    record_type and refers_to. An empty table writes nothing and gives an empty one."""
+def archive(pages: DataFrame, split: int = SPLIT, folder: str | None = None) -> DataFrame:
+    """Writes all pages to archives, reads them back and gives a row for each record: page_id, payload_bytes and payload_digest
+    (of the full payload: recomputed for responses, as the record states it for revisits), record_type and refers_to. An
+    empty table writes nothing and gives an empty one. Archives stay in the folder, if one is named; else they are written to
+    the shared one and deleted once they were read."""
     spark = pages.sparkSession
-    files = write(marked(pages), f"{shared_dir(spark)}/marginalia/warc-{uuid.uuid4().hex}")
-    back = read(spark, files, split)
-    return back.select(
-        "page_id",
-        F.coalesce(F.octet_length("payload").cast("long"), "payload_bytes").alias("payload_bytes"),
-        F.coalesce(F.sha1("payload"), "digest").alias("payload_digest"),
-        "record_type",
-        "refers_to",
-    )
+    with collecting() as made:
+        files = write(marked(pages), folder or f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}")
+        back = read(spark, files, split).select(
+            "page_id",
+            F.coalesce(F.octet_length("payload").cast("long"), "payload_bytes").alias("payload_bytes"),
+            F.coalesce(F.sha1("payload"), "digest").alias("payload_digest"),
+            "record_type",
+            "refers_to",
+        )
+        if folder is None:
+            back = freeze(back, "records")
+    discard(spark, made + [p for p, _ in files if folder is None], keep=(back,) if folder is None else ())
+    return back
