@@ -2,8 +2,8 @@
 
 The lexicon has two parts: insults of common use, and words and word beginnings that labelled toxic documents have far
 more often than other ones, so it follows whatever languages the labels cover. It is learned on two halves of the sample:
-trees and calibration see each document through the lexicon of the other half, and new documents that of both. The trees
-and the calibration are fitted to different documents.
+trees and calibration see each document through the lexicon of the other half, and new documents that of both. The
+calibration reads each document by trees that were fitted without it; the model's own trees are fitted to all.
 """
 
 from __future__ import annotations
@@ -23,10 +23,8 @@ from marginalia.llm.quality import labelled_sample
 
 #: Labelled rows that are learned from at most: those of least hash.
 MAX_LABELLED = 20_000
-#: Terms of the lexicon at most, and candidates from which they are chosen.
-MAX_TERMS, MAX_CANDIDATES = 2_000, 20_000
-#: Labelled rows from which on a quarter of them is set apart for the calibration.
-TUNED = 200
+#: Parts of the sample, each of which is read for the calibration by trees of the others.
+FOLDS = 4
 #: A term is taken if it is so many times as frequent in toxic documents as in others.
 LIFT = 8.0
 
@@ -132,7 +130,8 @@ def remainder(doc_id: Column) -> Column:
 
 
 def _learn_terms(sample: DataFrame) -> list[list[str]]:
-    """The terms learned without the first half, without the second half, and from both."""
+    """The terms learned without the first half, without the second half, and from both. A term is one that at least 3 and one
+    in 500 of the toxic documents have, so a sample of bounded texts has a bounded number of them."""
 
     def counts(batches, known: frozenset | None):
         import pyarrow as pa
@@ -153,7 +152,7 @@ def _learn_terms(sample: DataFrame) -> list[list[str]]:
 
     sizes = {(r.y, r.half): r.n for r in sample.groupBy("y", "half").agg(F.count("*").alias("n")).collect()}
     every = sum(n for (y, _), n in sizes.items() if y == 1)
-    often = {r.term: (r.n1, r.n0, r.n) for r in table(1, None).filter(F.col("n") >= max(3, int(0.002 * every))).orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES).collect()}
+    often = {r.term: (r.n1, r.n0, r.n) for r in table(1, None).filter(F.col("n") >= max(3, int(0.002 * every))).collect()}
     other = {r.term: (r.n1, r.n0, r.n) for r in table(0, frozenset(often)).collect()}
     out = []
     for k, halves in enumerate([(1,), (0,), (0, 1)]):
@@ -162,14 +161,13 @@ def _learn_terms(sample: DataFrame) -> list[list[str]]:
             out.append([])
             continue
         lift = {t: (n[k] + 0.5) / (toxic + 1) / ((other.get(t, (0, 0, 0))[k] + 0.5) / (clean + 1)) for t, n in often.items() if n[k] >= max(2, int(0.002 * toxic))}
-        good = sorted((t for t in lift if lift[t] >= LIFT), key=lambda t: (-often[t][k] * math.log(lift[t]), t))
-        out.append(good[:MAX_TERMS])
+        out.append(sorted(t for t in lift if lift[t] >= LIFT))
     return out
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
     """A model of labels.toxic, from at most `most` labelled documents whose remainder is not 0. Without labels of both
-    kinds it is a constant, their mean, or 0 without any. Of fewer than TUNED rows, all teach both trees and calibration."""
+    kinds it is a constant, their mean, or 0 without any."""
     rows = labelled_sample(docs, labels, "toxic", most, lambda i: remainder(i) != 0)
     sample = freeze(rows.withColumn("half", F.pmod("draw", F.lit(2)).cast("int")), "toxic-sample")
     lexicons = [Lexicon(t) for t in _learn_terms(sample)]
@@ -184,14 +182,13 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model
     found = sample.select("text", "half", "y", "draw").mapInArrow(run, "x array<double>, y int, draw long").collect()
     x = np.array([r.x for r in found]).reshape(len(found), len(FEATURES))
     y = np.array([float(r.y) for r in found])
-    tuning = np.array([r.draw // 2 % 4 == 0 for r in found], dtype=bool)
-    teaching = ~tuning
-    if len(y) < TUNED:
-        tuning = teaching = np.ones(len(y), dtype=bool)
-    trees = gbt.fit(x[teaching], y[teaching], MONOTONE)
+    trees = gbt.fit(x, y, MONOTONE)
     if not len(y) or y.min() == y.max():
         return Model(lexicons[2], trees, gbt.Isotonic(np.zeros(1), np.array([y.mean() if len(y) else 0.0])))
-    return Model(lexicons[2], trees, gbt.isotonic(trees.margin(x[tuning]), y[tuning]))
+    fold, margin = np.array([r.draw // 2 % FOLDS for r in found]), np.empty(len(y))
+    for f in range(FOLDS):
+        margin[fold == f] = gbt.fit(x[fold != f], y[fold != f], MONOTONE).margin(x[fold == f])
+    return Model(lexicons[2], trees, gbt.isotonic(margin, y))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
