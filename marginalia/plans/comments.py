@@ -130,8 +130,8 @@ def docs_as_declarations(spark, sf_dir):
     return docs.select("doc_id", F.col("first").alias("declaration"), text.alias("text"))
 
 
-_DECLARED = f"""(select doc_id, first as declaration, case when doc_id % 3 <> 0 then first || replace({S.q(_PADDING)}, '{{}}', coalesce(({S.fields('first')})[1], '')) else text end as text
-  from (select doc_id, text, substr(string_split(text, chr(10))[1], 1, 200) as first from documents))"""
+_DECLARED = f"""(select doc_id, first as declaration, case when doc_id % 3 <> 0 then text || replace({S.q(_PADDING)}, '{{}}', coalesce(({S.fields('first')})[1], '')) else text end as text
+  from (select doc_id, text, string_split(text, chr(10))[1] as first from documents))"""
 
 
 def _hollow_sql() -> str:
@@ -150,7 +150,7 @@ f as (select *, count(*) over (partition by doc_id) as found from h)"""
 @query(f"with {_hollow_sql()} select f.doc_id, place as \"at\", why, s as sentence, round(0.4 + 0.3 * found / n, 6) as score from f join d using (doc_id) where found >= 2")
 def hollow_documents(spark, sf_dir):
     own = docs_as_declarations(spark, sf_dir)
-    found = own.withColumn("found", P.hollow_sentences(P.split(F.col("text")), P.spelled(F.col("declaration")))).filter(F.size("found") >= 2)
+    found = own.withColumn("found", P.hollow_sentences(P.split(F.col("text")), P.spelled(F.col("declaration"))))  # explode drops the empty ones
     score = F.round(rules.hollow_score(F.col("found"), P.sentences(F.col("text"))), 6)
     return found.select("doc_id", score.alias("score"), F.explode("found").alias("x")).select("doc_id", "x.at", "x.why", F.col("x.text").alias("sentence"), "score")
 

@@ -124,7 +124,7 @@ def template_blank(spark, sf_dir):
     return out.select("doc_id", F.octet_length("masked").alias("bytes"), F.md5("masked").alias("masked"))
 
 
-_FOUND = f"(select doc_id, pos, case when {S.code('raw')} then 'leftover' when {S.compat('raw')} then 'phrase' else 'echo' end as class, {S.sentences('raw')} as n from {doc_lines_sql()} where pos % 5 = 0)"
+_FOUND = f"(select doc_id, pos, case when {S.code('raw')} then 'leftover' when {S.compat('raw')} then 'phrase' else 'echo' end as class, {S.sentences('raw')} as n from {doc_lines_sql()})"
 
 
 def findings(spark, sf_dir):
