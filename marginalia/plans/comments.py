@@ -1,4 +1,4 @@
-"""Queries of runs, rules and languages. The lines of documents stand in for source: most are comment nodes, some code."""
+"""Queries of runs, rules and languages. The lines of documents stand in for comment nodes, with gaps for code between."""
 
 from __future__ import annotations
 
@@ -14,20 +14,25 @@ from marginalia.sources import languages
 
 
 def nodes(spark, sf_dir, cases=MARKED):
-    own = doc_lines(spark, sf_dir, cases).filter(F.col("pos") % 4 != 3)
+    """Every line is a node. Counted from a place that each document has for itself, a line of 64 comes after a gap, one of 96
+    goes on over two rows, ten of 60 are indented and one of 45 is trailing, so runs are short in some files, long in others."""
+    own = doc_lines(spark, sf_dir, cases)
+    at = F.col("pos") + F.col("doc_id")
+    row = F.col("pos") + F.floor((F.col("pos") + F.col("doc_id") % 64) / 64) + F.floor((F.col("pos") + F.col("doc_id") % 96 + 46) / 96)
     return own.select(
         F.col("doc_id").alias("path"),
-        F.col("pos").alias("row"),
-        (F.col("pos") + F.when(F.col("pos") % 16 == 9, 1).otherwise(0)).alias("end_row"),
-        F.when(F.col("pos") % 6 == 5, 2).otherwise(0).alias("col"),
-        (F.col("pos") % 9 == 8).alias("trailing"),
+        row.alias("row"),
+        (row + F.when(at % 96 == 49, 1).otherwise(0)).alias("end_row"),
+        F.when(at % 60 >= 50, 2).otherwise(0).alias("col"),
+        (at % 45 == 44).alias("trailing"),
         "raw",
     )
 
 
 def nodes_sql(cases=MARKED) -> str:
-    return f"""n as (select doc_id as path, pos as row, pos + case when pos % 16 = 9 then 1 else 0 end as end_row, case when pos % 6 = 5 then 2 else 0 end as col,
-  pos % 9 = 8 as "trailing", raw from {doc_lines_sql(cases)} where pos % 4 <> 3),
+    return f"""b as (select *, pos + (pos + doc_id % 64) // 64 + (pos + doc_id % 96 + 46) // 96 as row from {doc_lines_sql(cases)}),
+n as (select doc_id as path, row, row + case when (pos + doc_id) % 96 = 49 then 1 else 0 end as end_row, case when (pos + doc_id) % 60 >= 50 then 2 else 0 end as col,
+  (pos + doc_id) % 45 = 44 as "trailing", raw from b),
 j as (select *, coalesce(not "trailing" and not lag("trailing") over w and lag(end_row) over w + 1 = row and lag(row) over w = lag(end_row) over w and row = end_row and lag(col) over w = col, false) as joins
   from n window w as (partition by path order by row, col)),
 r as (select * exclude (joins), sum(case when joins then 0 else 1 end) over (partition by path order by row, col rows unbounded preceding) as run from j)"""

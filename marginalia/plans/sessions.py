@@ -79,12 +79,12 @@ def turns(spark, sf_dir):
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     own = own.withColumn("old", before).filter("old is not null")
     n = F.char_length("old")
-    return own.select("conv_id", "turn", "old", F.concat(F.substring("old", F.lit(1), F.floor(n / 2).cast("int")), F.substring("text", 1, 40), F.substring("old", (F.floor(n * 0.75) + 1).cast("int"), n)).alias("new"))
+    return own.select("conv_id", "turn", "old", F.concat(F.substring("old", F.lit(1), F.floor(n / 2).cast("int")), "text", F.substring("old", (F.floor(n * 0.75) + 1).cast("int"), n)).alias("new"))
 
 
 _TURNS = r"""b as (select conv_id, turn, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') as text from conversations),
 l as (select *, lag(text) over (partition by conv_id order by turn) as old from b),
-t as (select conv_id, turn, old, substr(old, 1, len(old) // 2) || substr(text, 1, 40) || substr(old, floor(len(old) * 0.75)::int + 1) as new from l where old is not null),
+t as (select conv_id, turn, old, substr(old, 1, len(old) // 2) || text || substr(old, floor(len(old) * 0.75)::int + 1) as new from l where old is not null),
 p as (select *, least(len(old), len(new)) as n, len(list_filter(range(1, least(len(old), len(new)) + 1), lambda k: old[1:k] = new[1:k])) as prefix from t),
 s as (select *, len(list_filter(range(1, n - prefix + 1), lambda k: right(old, k) = right(new, k))) as suffix from p)"""
 
