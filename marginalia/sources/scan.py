@@ -12,6 +12,7 @@ import ast
 import io
 import re
 import tokenize
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -31,13 +32,16 @@ _FUNCTION = {
     "go": r"\bfunc\b", "rust": r"\bfn\b|\|[^|]*\|\s*$", "php": r"\bfunction\b|\bfn\b", "javascript": r"\bfunction\b|=>\s*$|^\s*(?:async\s+|static\s+|get\s+|set\s+)*[\w$#]+\s*\([^;]*\)\s*$",
     "c": r"\)\s*(?:const\s*)?$", "java": r"\)\s*(?:throws[\w\s,.]+)?$|->\s*$", "bash": r"\(\)\s*$|\bfunction\b",
 }
-_CONTROL = re.compile(r"^\s*(?:\}\s*)?(?:else\s+)?(?:if|for|while|switch|catch|do|try|else|foreach|match|loop|select|synchronized)\b")
+_CONTROL = re.compile(r"\s*(?:\}\s*)?(?:else\s+)?(?:if|for|while|switch|catch|do|try|else|foreach|match|loop|select|synchronized)\b")
 _DEFINES = re.compile(
-    r"^\s*(?:(?:export|default|pub(?:\([^)]*\))?|public|private|protected|static|final|abstract|async|unsafe|const|inline|extern|virtual|override)\s+)*"
+    r"\s*(?:(?:export|default|pub(?:\([^)]*\))?|public|private|protected|static|final|abstract|async|unsafe|const|inline|extern|virtual|override)\s+)*"
     r"(?:func|function\*?|fn|def|class|struct|enum|trait|impl|interface|type|module|const|let|var|record)\b"
 )
-_C_FUNCTION = re.compile(r"^[A-Za-z_][\w\s*&<>:,~\[\]]*\([^;{}]*\)\s*(?:const\s*)?(?:throws[\w\s,.]+)?[{;]")
-_PIECE = re.compile(r"[A-Z]?[^\W\d_A-Z]*\d*[^\W_A-Z]*|[^\W_]+")
+_KEEPS = re.compile(r"\s*(?:pub\s+)?(?:type|struct|enum)\b")
+_C_FUNCTION = re.compile(r"[A-Za-z_][\w\s*&<>:,~\[\]]*\([^;{}]*\)\s*(?:const\s*)?(?:throws[\w\s,.]+)?[{;]")
+_INK = re.compile(r"[^ \t\r\n]")
+_RAW_STRING, _CHARACTER = re.compile(r'b?r(#*)"'), re.compile(r"'(?:\\.[^'\n]*|[^'\\\n])'")
+_HEREDOC = re.compile(r"<<[-~]?\s*['\"]?(\w+)['\"]?")
 
 
 @dataclass
@@ -96,7 +100,7 @@ def _slash(src: str, language: str) -> tuple[list[Node], list[tuple[int, int]]]:
                     j += 1
             nodes.append(Node(i, j))
             i = j
-        elif language == "rust" and (m := re.compile(r'b?r(#*)"').match(src, i)) and (i == 0 or not (src[i - 1].isalnum() or src[i - 1] == "_")):
+        elif language == "rust" and ch in "br" and (m := _RAW_STRING.match(src, i)) and (i == 0 or not (src[i - 1].isalnum() or src[i - 1] == "_")):
             end = src.find('"' + m[1], m.end())
             strings.append((i, i := n if end < 0 else end + 1 + len(m[1])))
         elif ch == '"' or (ch == "`" and language in ("go", "javascript", "typescript", "tsx")) or (ch == "'" and language in ("javascript", "typescript", "tsx", "php")):
@@ -104,7 +108,7 @@ def _slash(src: str, language: str) -> tuple[list[Node], list[tuple[int, int]]]:
             while j < n and src[j] != ch and not (src[j] == "\n" and ch != "`" and language != "php"):
                 j += 2 if src[j] == "\\" and not (ch == "`" and language == "go") else 1
             strings.append((i, i := min(n, j + 1)))
-        elif ch == "'" and (m := re.compile(r"'(?:\\.[^'\n]*|[^'\\\n])'").match(src, i)):
+        elif ch == "'" and (m := _CHARACTER.match(src, i)):
             strings.append((i, i := m.end()))
         else:
             i += 1
@@ -130,7 +134,7 @@ def _hashes(src: str, language: str) -> tuple[list[Node], list[tuple[int, int]]]
             elif ch == "#" and (not i or line[i - 1] in " \t;&|()" or language in ("make", "hcl")) and not (language == "dockerfile" and line[:i].strip()):
                 nodes.append(Node(at + i, at + len(line.rstrip("\r"))))
                 break
-            elif language in ("bash", "ruby", "hcl") and (m := re.compile(r"<<[-~]?\s*['\"]?(\w+)['\"]?").match(line, i)):
+            elif ch == "<" and language in ("bash", "ruby", "hcl") and (m := _HEREDOC.match(line, i)):
                 heredoc, i = m[1], m.end() - 1
             i += 1
         at += len(line) + 1
@@ -154,7 +158,7 @@ def _python(src: str) -> list[Node]:
     except (SyntaxError, ValueError, RecursionError):
         return nodes
     lines = src.split("\n")
-    place = lambda row, col: starts[row - 1] + len(lines[row - 1].encode()[:col].decode("utf-8", "ignore"))
+    place = lambda row, col: starts[row - 1] + (col if lines[row - 1].isascii() else len(lines[row - 1].encode()[:col].decode("utf-8", "ignore")))
     inside, statements = [], []
 
     def walk(node: ast.AST, buried: bool, owner: ast.AST | None) -> None:
@@ -182,24 +186,74 @@ def _python(src: str) -> list[Node]:
         walk(tree, False, None)
     except RecursionError:
         return nodes
-    statements.sort(key=lambda s: s[0])
+    under: dict[int, tuple] = {}
+    for a, *rest in statements:
+        under.setdefault(a, tuple(rest))
+    buried = _covered(inside)
     for node in nodes:
         if not node.docstring:
-            node.buried = any(a < node.start < b for a, b in inside)
-    for node in nodes:
-        at = node.end
-        while at < len(src) and src[at] in " \t\r\n":
-            at += 1
-        for a, b, child, last, one in statements:
-            if a == at:
-                defines = isinstance(child, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef)
-                node.under = {"kind": "definition" if defines else "statement", "one_line": one, "last": last, "words": sorted({stem(w) for w in pieces(src[a:b])})}
-                if defines and not node.docstring:
-                    node.declared = _signature(src, child, place)
-                break
+            node.buried = buried(node.start)
+        m = _INK.search(src, node.end)
+        if m and m.start() in under:
+            end, child, last, one = under[m.start()]
+            defines = isinstance(child, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef)
+            node.under = {"kind": "definition" if defines else "statement", "one_line": one, "last": last, "words": _words(src[m.start() : end]) if one else []}
+            if defines and not node.docstring:
+                node.declared = _signature(src, child, place)
     return sorted(nodes, key=lambda x: x.start)
 
 
+def _words(text: str) -> list[str]:
+    """What a statement of one line spells; of longer ones no rule asks."""
+    return sorted({stem(w) for w in pieces(text)})
+
+
+def _covered(spans: list[tuple[int, int]]):
+    """Whether a place lies inside one of the spans, by halving: of the spans that begin before it, the furthest end decides."""
+    spans = sorted(spans)
+    begins, furthest = [a for a, _ in spans], []
+    for _, b in spans:
+        furthest.append(max(b, furthest[-1]) if furthest else b)
+    return lambda at: (k := bisect_left(begins, at)) > 0 and furthest[k - 1] > at
+
+
+def _stops(code: str, ends_at_line: bool):
+    """Where the statement that begins at a place ends. One walk over all brackets notes, for each of the nested levels, the
+    places at which a statement of it ends: after a semicolon, at the end of a line where that counts, after a block that
+    ends its line, before the bracket that closes the level."""
+    stack, stops = [0], [([], [])]  # of each level: places, and the ends that they mean
+    turns, levels = [0], [0]  # from which place on which level holds
+
+    def stop(level: int, at: int, end: int) -> None:
+        stops[level][0].append(at)
+        stops[level][1].append(end)
+
+    for m in re.finditer(r"[(\[{)\]};\n]" if ends_at_line else r"[(\[{)\]};]", code):
+        ch, p = m[0], m.start()
+        if ch in "([{":
+            stack.append(len(stops))
+            stops.append(([], []))
+        elif ch in ")]}":
+            stop(stack[-1], p, p)
+            if len(stack) == 1:
+                continue
+            stack.pop()
+            if ch == "}" and code[p + 1 : p + 2] in ("\n", ""):
+                stop(stack[-1], p, p + 1)
+        else:
+            stop(stack[-1], p, p + (ch == ";"))
+            continue
+        turns.append(p + 1)
+        levels.append(stack[-1])
+
+    def end(at: int) -> int:
+        places, ends = stops[levels[bisect_right(turns, at) - 1]]
+        k = bisect_left(places, at)
+        return ends[k] if k < len(ends) else len(code)
+
+    return end
+
+
 def _signature(src: str, owner: ast.AST | None, place) -> list[str]:
     if owner is None:
         return []
@@ -227,41 +281,33 @@ def _around(src: str, nodes: list[Node], strings: list[tuple[int, int]], languag
                 functions.append((at, m.start()))
         since = m.end()
     functions += [(at, len(code)) for at, function in stack if function]
-    functions.sort()
+    buried = _covered(functions)
     taken = {x.start for x in nodes}
+    end = _stops(code, language in ("go", "javascript", "typescript", "tsx", "bash", "ruby", "hcl", "yaml", "make", "dockerfile"))
+    parens = [m.start() for m in re.finditer(r"\(", code)] if language in ("c", "c++", "java") else []
+    rest = re.compile(r"[ \t\r\n;]*")
     for node in nodes:
-        node.buried = any(a < node.start < b for a, b in functions)
-        at = node.end
-        while at < len(src) and src[at] in " \t\r\n":
-            at += 1
-        if at >= len(src) or at in taken:
+        node.buried = buried(node.start)
+        ink = _INK.search(src, node.end)
+        if not ink or ink.start() in taken:
             continue
-        depth, k = 0, at
-        ends_at_line = language in ("go", "javascript", "typescript", "tsx", "bash", "ruby", "hcl", "yaml", "make", "dockerfile")
-        while k < len(code):
-            ch = code[k]
-            if ch in "([{":
-                depth += 1
-            elif ch in ")]}":
-                depth -= 1
-                if depth < 0 or (depth == 0 and ch == "}" and code[k + 1 : k + 2] in ("\n", "")):
-                    k += depth == 0
-                    break
-            elif depth == 0 and (ch == ";" or (ch == "\n" and ends_at_line)):
-                k += ch == ";"
-                break
-            k += 1
-        text = src[at:k].rstrip()
-        if not text:
+        at = ink.start()
+        k = stop = end(at)
+        while k > at and src[k - 1].isspace():
+            k -= 1
+        if k == at:
             continue
-        defines = bool(_DEFINES.match(text)) or (language in ("c", "c++", "java") and bool(_C_FUNCTION.match(text)) and not _CONTROL.match(text))
-        rest = code[k:].lstrip(" \t\r\n;")
-        node.under = {"kind": "definition" if defines else "statement", "one_line": "\n" not in text, "last": rest[:1] in ("}", ""), "words": sorted({stem(w) for w in pieces(text)})}
+        line = src.find("\n", at, k)
+        after = rest.match(code, stop).end()
+        defines = bool(_DEFINES.match(src, at, k))
+        if not defines and parens:
+            p = bisect_left(parens, at)
+            defines = p < len(parens) and parens[p] < k and bool(_C_FUNCTION.match(src, at, k)) and not _CONTROL.match(src, at, k)
+        node.under = {"kind": "definition" if defines else "statement", "one_line": line < 0, "last": code[after : after + 1] in ("}", ""), "words": _words(src[at:k]) if line < 0 else []}
         if defines:
-            body = re.search(r"\{", code[at:k])
-            keeps = re.match(r"\s*(?:pub\s+)?(?:type|struct|enum)\b", text) and language in ("go",)
-            kept = code[at:k] if keeps or not body else code[at : at + body.start()]
-            node.declared = spelled(kept)
+            body = code.find("{", at, stop)
+            keeps = language == "go" and _KEEPS.match(src, at, k)
+            node.declared = spelled(code[at : stop if keeps or body < 0 else body])
 
 
 def nodes_of(content: bytes, language: str) -> list[dict]:
@@ -276,26 +322,39 @@ def nodes_of(content: bytes, language: str) -> list[dict]:
         found, strings = _hashes(text, language)
         _around(text, found, strings, language)
     size = lambda a, b: len(text[a:b].encode("utf-8", "surrogateescape"))
-    out, at, row, line, byte, before = [], 0, 0, 0, 0, 0
+    out, at, row, byte, before = [], 0, 0, 0, 0
+    line = line_byte = 0  # where the line begins, in characters and in bytes
     for x in found:
         row += text.count("\n", at, x.start)
+        newline = text.rfind("\n", at, x.start) + 1
+        if newline:
+            line, line_byte = newline, byte + size(at, newline)
         byte += size(at, x.start)
-        line = text.rfind("\n", 0, x.start) + 1
         raw = text[x.start : x.end]
         end_row = row + raw.count("\n")
-        above = text[:x.start].rstrip(" \t\r\n").rpartition("\n")[2] if language == "yaml" else ""
-        last = text.rfind("\n", 0, x.end) + 1
-        out.append({
-            "row": row, "col": size(line, x.start), "end_row": end_row, "end_col": size(last, x.end), "start": byte, "end": byte + size(x.start, x.end),
-            "raw": raw.encode("utf-8", "surrogateescape").decode("utf-8", "replace"), "buried": x.buried, "docstring": x.docstring,
-            "trailing": text[line : x.start].strip(" \t\r") != "", "blank_before": text[before : x.start].strip(" \t\r\n") == "", "under": x.under, "declared": x.declared, "above": above,
-        })
-        if out[-1]["blank_before"]:
+        made = {
+            "row": row, "col": byte - line_byte, "end_row": end_row, "start": byte, "end": byte + size(x.start, x.end), "raw": raw.encode("utf-8", "surrogateescape").decode("utf-8", "replace"),
+            "buried": x.buried, "docstring": x.docstring, "trailing": _INK.search(text, line, x.start) is not None, "blank_before": _INK.search(text, before, x.start) is None,
+            "under": x.under, "declared": x.declared, "above": _line_above(text, x.start) if language == "yaml" else "",
+        }
+        last = raw.rfind("\n") + 1
+        if last:
+            line, line_byte = x.start + last, byte + size(x.start, x.start + last)
+        made["end_col"] = made["end"] - line_byte
+        out.append(made)
+        if made["blank_before"]:
             before = x.end
-        at, row, byte = x.end, end_row, out[-1]["end"]
+        at, row, byte = x.end, end_row, made["end"]
     return out
 
 
+def _line_above(text: str, at: int) -> str:
+    """The last line before a place that isn't blank, as far as its last ink."""
+    while at > 0 and text[at - 1] in " \t\r\n":
+        at -= 1
+    return text[text.rfind("\n", 0, at) + 1 : at]
+
+
 def scan(files: DataFrame) -> DataFrame:
     """A row for each comment node of files (path, language, content as binary). Larger files than the limit and those
     without a language are skipped before any Python sees them."""
