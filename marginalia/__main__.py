@@ -1,4 +1,5 @@
-"""python -m marginalia [-v] FOLDER: sweeps the source files below a folder and prints its findings, one line each."""
+"""python -m marginalia [-v] FOLDER: sweeps the source files below a folder and prints its findings, one line each, the worst of
+each file first; with -v also the lines they are about."""
 
 from __future__ import annotations
 
@@ -17,15 +18,19 @@ def main(args: list[str]) -> int:
     from marginalia.functions import render
     from marginalia.operators import audit
     from marginalia.ship import ship
+    from marginalia.sources import scan, sinks
 
     spark = SparkSession.builder.appName("marginalia").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     ship(spark)
     for path in paths:
-        found = audit.sweep(spark, path)
-        if verbose:
-            found = found.withColumn("path", F.regexp_replace("path", "^file:", ""))
-        lines = found.select(render.tsv(F.col("path"), F.col("line"), F.col("class"), F.col("score"), F.col("reason")).alias("value"), "path", "line")
-        for row in lines.orderBy("path", "line").toLocalIterator():
+        own = audit.files(spark, path)
+        found = audit.judge(audit.comments(scan.scan(own)))
+        line = render.tsv(F.regexp_replace("path", "^file:", ""), F.col("line"), F.col("class"), F.col("score"), F.col("reason"))
+        if verbose:  # each finding with the line it is about and the code after it
+            found = found.join(own.select("path", F.col("content").cast("string").alias("source")), "path")
+            quote = sinks.quoted(F.col("source"), F.col("line"))
+            line = F.concat_ws("\n", line, *(F.concat(F.lit("    "), render.printable(quote[c])) for c in ("comment", "code")))
+        for row in found.select(line.alias("value"), "path", "score", "line").orderBy("path", F.desc("score"), "line").toLocalIterator():
             print(row.value)
     return 0
 

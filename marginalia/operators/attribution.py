@@ -60,6 +60,21 @@ def _locate(source: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([[{"start": a, "end": b} for a, b in locate_bytes(_bytes(s), _bytes(t))] for s, t in zip(source, text)], dtype=object)
 
 
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))
+def _written(source: pd.Series, whole: pd.Series, edits: pd.Series) -> pd.Series:
+    def spans(s, all_of_it, es):
+        if all_of_it:
+            return [(0, len(s))]
+        return written_spans(s, [((e["old"] or "").encode(), (e["new"] or "").encode()) for e in (es if es is not None else [])])
+
+    return pd.Series([[{"start": a, "end": b} for a, b in spans(_bytes(s), w, e)] for s, w, e in zip(source, whole, edits)], dtype=object)
+
+
+def written(source: Column, whole: Column, edits: Column) -> Column:
+    """The spans of a file that a write made: all of it, or what edits (an array of old and new) put there."""
+    return _written(source.cast("binary"), whole, edits)
+
+
 def shared(old: Column, new: Column) -> Column:
     return _shared(old.cast("binary"), new.cast("binary"))
 

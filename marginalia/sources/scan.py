@@ -23,7 +23,7 @@ from marginalia.sources.templates import masked
 
 SCHEMA = (
     "path string, language string, row int, col int, end_row int, end_col int, start long, end long, raw string, buried boolean, docstring boolean, trailing boolean, "
-    "blank_before boolean, under struct<kind:string,one_line:boolean,last:boolean,words:array<string>>, declared array<string>, above string, error string"
+    "blank_before boolean, under struct<kind:string,one_line:boolean,last:boolean,words:array<string>>, declared array<string>, above string, written boolean, error string"
 )
 
 HASH = {"bash", "dockerfile", "hcl", "make", "python", "ruby", "yaml"}
@@ -355,9 +355,19 @@ def _line_above(text: str, at: int) -> str:
     return text[text.rfind("\n", 0, at) + 1 : at]
 
 
+def _touched(spans: list[dict]):
+    """Whether a stretch shares a byte with one of the spans."""
+    own = sorted((s["start"], s["end"]) for s in spans)
+    begins, furthest = [a for a, _ in own], []
+    for _, b in own:
+        furthest.append(max(b, furthest[-1]) if furthest else b)
+    return lambda a, b: (k := bisect_left(begins, b)) > 0 and furthest[k - 1] > a
+
+
 def scan(files: DataFrame) -> DataFrame:
     """A row for each comment node of files (path, language, content as binary). Larger files than the limit and those
-    without a language are skipped before any Python sees them."""
+    without a language are skipped before any Python sees them. Files may have spans, an array of start and end: written says
+    whether a node shares a byte with one of them; without the column, every node is."""
 
     def run(batches):
         import pyarrow as pa
@@ -366,16 +376,17 @@ def scan(files: DataFrame) -> DataFrame:
             ("path", pa.string()), ("language", pa.string()), ("row", pa.int32()), ("col", pa.int32()), ("end_row", pa.int32()), ("end_col", pa.int32()), ("start", pa.int64()),
             ("end", pa.int64()), ("raw", pa.string()), ("buried", pa.bool_()), ("docstring", pa.bool_()), ("trailing", pa.bool_()), ("blank_before", pa.bool_()),
             ("under", pa.struct([("kind", pa.string()), ("one_line", pa.bool_()), ("last", pa.bool_()), ("words", pa.list_(pa.string()))])),
-            ("declared", pa.list_(pa.string())), ("above", pa.string()), ("error", pa.string()),
+            ("declared", pa.list_(pa.string())), ("above", pa.string()), ("written", pa.bool_()), ("error", pa.string()),
         ])
         for batch in batches:
             rows = []
-            for path, language, content in zip(*(c.to_pylist() for c in batch.columns)):
+            for path, language, content, *spans in zip(*(c.to_pylist() for c in batch.columns)):
+                touched = _touched(spans[0] or []) if spans else lambda a, b: True
                 try:
-                    rows += [{"path": path, "language": language, **x} for x in nodes_of(content, language)]
+                    rows += [{"path": path, "language": language, "written": touched(x["start"], x["end"]), **x} for x in nodes_of(content, language)]
                 except Exception as e:  # one file must not end a sweep; it is counted by its row
                     rows.append({"path": path, "language": language, "error": type(e).__name__})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     own = files.filter(F.col("language").isNotNull() & (F.octet_length("content") <= L.FILE_BYTES))
-    return own.select("path", "language", F.col("content").cast("binary")).mapInArrow(run, SCHEMA)
+    return own.select("path", "language", F.col("content").cast("binary"), *(["spans"] if "spans" in files.columns else [])).mapInArrow(run, SCHEMA)

@@ -11,7 +11,7 @@ from marginalia.functions import prose as P
 from marginalia.functions import render
 
 #: Files that may hold a project's rules, in the order in which they are looked for.
-RULE_FILES = ["AGENTS.md", "CONTRIBUTING.md"]
+RULE_FILES = ["AGENTS.md", "CLAUDE.md"]
 
 
 def log(findings: DataFrame, folder: str) -> None:
