@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import lexicon as L
@@ -28,6 +28,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are worked out once for each row, whatever uses them later. A generator of one row stands between,
+    since the optimiser would copy a column's expression into each filter and each other column that reads it."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def trim(text: Column) -> Column:
     return F.regexp_replace(text, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
 
@@ -88,16 +94,17 @@ def pragma(raw: Column) -> Column:
 
 def normalize(text: Column) -> Column:
     """Lower case; everything but a-z and 0-9 is one space; a space at either end."""
-    words = F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), r"\A | \z", "")
-    return F.when(words == "", " ").otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
+    # A mark at either end joins the run of others there, so every end is one space; a text of nothing else is one.
+    return F.regexp_replace(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), "[^a-z0-9]+", " ")
 
 
 def _terminates(word: Column, after: Column) -> Column:
     shorn = F.regexp_replace(word, r"[\"')\]`]+\z", "")
     core = F.regexp_replace(shorn, r"[.!?]+\z", "")
     number = core.rlike(r"\A[0-9.vV]+\z") & core.rlike("[0-9]")
+    marked = word.contains(".") | word.contains("!") | word.contains("?")  # cheaper than any pattern, and seldom so
     kept = ~core.rlike(r"\A[A-Z]\z") & ~F.lower(core).isin(L.ABBREVIATIONS) & ~number
-    return shorn.rlike(r"[.!?]\z") & kept & (after.isNull() | ~after.rlike(r"\A[a-z]"))
+    return marked & shorn.rlike(r"[.!?]\z") & kept & (after.isNull() | ~after.rlike(r"\A[a-z]"))
 
 
 def _ends(words: Column) -> Column:

@@ -54,8 +54,8 @@ def structural(made: DataFrame) -> DataFrame:
     documents = F.when(F.col("docstring"), F.size("declared") > 0).otherwise(~F.col("buried") & (F.coalesce(F.col("under.kind"), F.lit("")) == "definition"))
     hollow = P.hollow_sentences(P.split(F.col("text")), F.col("declared"))
     hollow = F.when(documents & ~F.col("trailing") & ~F.col("heads") & functions, hollow).otherwise(F.array().cast("array<struct<at:int,why:string,text:string>>"))
-    own = own.withColumns({"echo": echo, "hollow": hollow, "n": P.sentences(F.col("text"))})
-    return own.withColumn("v", rules.inspect(F.col("leftover"), F.col("echo"), F.col("hollow"), F.col("n")))
+    own = P.once(own, hollow=hollow)
+    return P.once(own, v=rules.inspect(F.col("leftover"), echo, F.col("hollow"), P.sentences(F.col("text"))))
 
 
 def _names() -> Column:
@@ -77,11 +77,12 @@ def judge(made: DataFrame, head: DataFrame | None = None, vectors: Callable[[Dat
     pieces = P.opening(P.split(F.col("text")))
     if head is None:
         said = F.exists(pieces, P.compat)
-        own = own.withColumn("v", F.coalesce("v", F.when(said, F.struct(F.lit("phrase").alias("class"), F.lit(0.5).alias("score")))))
+        phrase = F.when(said, F.struct(F.lit("phrase").alias("class"), F.lit(0.5).alias("score")))
+        own = P.once(own.withColumnRenamed("v", "rule"), v=F.coalesce("rule", phrase))
     else:
         under = F.coalesce(F.col("under.one_line"), F.lit(False)) & ~F.col("trailing") & ~F.col("docstring")
         bears = under & rules.restates(F.col("text"), _names(), F.col("buried"), F.coalesce("under.last", F.lit(False)))
-        own = own.withColumns({"bears": bears, "pieces": F.when(F.col("v").isNull(), pieces), "hollow": F.slice("hollow", 1, 1)})
+        own = P.once(own.withColumn("hollow", F.slice("hollow", 1, 1)), bears=bears, pieces=F.when(F.col("v").isNull(), pieces))
         own = own.withColumn("bias", H.allowance(F.col("buried") & ~F.col("docstring"), F.size("pieces")))
         own = own.select("path", "run", "line", "text", "v", "hollow", "bears", "bias", F.posexplode_outer("pieces").alias("at", "sentence"))
         classes = head.filter("threshold is not null").agg(F.collect_list(F.struct("class", "name", "direction", "threshold")).alias("classes"))

@@ -37,11 +37,13 @@ def restates(text: Column, names: Column, buried: Column, last: Column) -> Colum
 
 
 def hollow_score(found: Column, sentences: Column) -> Column:
-    return 0.4 + 0.3 * F.size(found) / sentences
+    """By how many of the sentences are hollow."""
+    return 0.4 + 0.3 * found / sentences
 
 
 def inspect(leftover: Column, echo: Column, hollow: Column, sentences: Column) -> Column:
     """The first rule that fires, as a struct of class and score; null if none does. hollow is the array of sentences."""
     verdict = lambda name, score: F.struct(F.lit(name).alias("class"), score.cast("double").alias("score"))
     found = F.when(leftover, verdict("leftover", F.lit(1.0))).when(echo, verdict("echo", F.lit(0.95)))
-    return found.when(F.size(hollow) >= 2, verdict("hollow", hollow_score(hollow, sentences)))
+    padded = P.let(F.size(hollow), lambda n: F.when(n >= 2, verdict("hollow", hollow_score(n, sentences))))
+    return found.otherwise(padded)

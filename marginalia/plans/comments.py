@@ -155,8 +155,8 @@ f as (select *, count(*) over (partition by doc_id) as found from h)"""
 @query(f"with {_hollow_sql()} select f.doc_id, place as \"at\", why, s as sentence, round(0.4 + 0.3 * found / n, 6) as score from f join d using (doc_id) where found >= 2")
 def hollow_documents(spark, sf_dir):
     own = docs_as_declarations(spark, sf_dir)
-    found = own.withColumn("found", P.hollow_sentences(P.split(F.col("text")), P.spelled(F.col("declaration"))))  # explode drops the empty ones
-    score = F.round(rules.hollow_score(F.col("found"), P.sentences(F.col("text"))), 6)
+    found = P.once(own, found=P.hollow_sentences(P.split(F.col("text")), P.spelled(F.col("declaration")))).filter(F.size("found") >= 2)
+    score = F.round(rules.hollow_score(F.size("found"), P.sentences(F.col("text"))), 6)
     return found.select("doc_id", score.alias("score"), F.explode("found").alias("x")).select("doc_id", "x.at", "x.why", F.col("x.text").alias("sentence"), "score")
 
 
@@ -171,8 +171,7 @@ def inspect_first_match(spark, sf_dir):
     own = docs_as_declarations(spark, sf_dir).filter(~P.notice(F.col("text")))
     names = P.spelled(F.col("declaration"))
     hollow = P.hollow_sentences(P.split(F.col("text")), names)
-    own = own.withColumns({"leftover": P.code(F.col("text")), "echo": rules.echoes(F.col("text"), names), "hollow": hollow, "n": P.sentences(F.col("text"))})
-    own = own.withColumn("v", rules.inspect(F.col("leftover"), F.col("echo"), F.col("hollow"), F.col("n"))).filter("v is not null")
+    own = P.once(own, v=rules.inspect(P.code(F.col("text")), rules.echoes(F.col("text"), names), hollow, P.sentences(F.col("text")))).filter("v is not null")
     return own.select("doc_id", "v.class", F.round("v.score", 6).alias("score"))
 
 
