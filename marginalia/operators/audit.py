@@ -33,15 +33,15 @@ def comments(found: DataFrame, spans: DataFrame | None = None) -> DataFrame:
         nodes = nodes.join(hit, ["path", "run"], "left_semi")
     order = lambda c: F.struct("row", "col", c)
     at = lambda f, c: f(order(c))[c]
-    extra = nodes.groupBy("path", "run").agg(
+    extra = [
         F.first("language").alias("language"), F.min("start").alias("start"), F.max("end").alias("end"), at(F.min, "buried").alias("buried"), at(F.min, "docstring").alias("docstring"),
         at(F.min, "heads").alias("heads"), at(F.min, "above").alias("above"), F.min(F.struct("row", F.col("col").alias("c")))["c"].alias("col"),
         F.max_by("under", F.struct("row", "col")).alias("under"), F.max_by("declared", F.struct("row", "col")).alias("after"),
         F.min_by("declared", F.struct("row", "col")).alias("within"), F.bool_or("written").alias("written"),
-    )
+    ]
     # A docstring documents what it stands in, any other comment what comes after its last line.
-    extra = extra.withColumn("declared", F.when(F.col("docstring"), F.col("within")).otherwise(F.col("after"))).drop("within", "after")
-    own = runs.comments(nodes).join(extra.filter("written").drop("written"), ["path", "run"])
+    own = runs.comments(nodes, extra).filter("written").drop("written")
+    own = own.withColumn("declared", F.when(F.col("docstring"), F.col("within")).otherwise(F.col("after"))).drop("within", "after")
     return runs.examined(own.filter(~runs.pragma(F.col("raw"))))
 
 
