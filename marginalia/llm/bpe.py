@@ -15,7 +15,7 @@ from itertools import islice
 
 from pyspark.sql import DataFrame
 
-from marginalia.llm.common import sliced
+from marginalia.llm.common import sliced, unlike
 
 #: Pieces of a text taken at once, so that a very long text never becomes one list.
 CHUNK = 1 << 16
@@ -26,10 +26,14 @@ _NONE = 1 << 62
 _SHIFT = 40  # a key is rank << _SHIFT | position
 
 
-def read_ranks(path: str) -> dict[bytes, int]:
+def parse_ranks(data: bytes) -> dict[bytes, int]:
     """The rank of each token of a rank file (a base64 token and its rank on each line)."""
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())}
+
+
+def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        return parse_ranks(f.read())
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -100,10 +104,10 @@ class _Cache(dict):
 class Codec:
     """Encodes and decodes with the ranks of one file, as ordinary text: no special tokens."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
-        self.ranks = read_ranks(path)
+        self.ranks = ranks
         self.bytes = {rank: token for token, rank in self.ranks.items()}
         self.pattern = regex.compile(pattern)
         self.cache = _Cache(self.ranks)
@@ -127,14 +131,26 @@ class Codec:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
+_codecs: dict[tuple[bytes, str], Codec] = {}
 
 
 def codec(path: str, pattern: str) -> Codec:
-    """One codec, with its cache, for each worker process."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+    return Codec(read_ranks(path), pattern)
+
+
+def shared_codec(data: bytes, mark: bytes, pattern: str) -> Codec:
+    """One codec, with its cache, for each worker process; mark is a digest of the rank file's data."""
+    if (mark, pattern) not in _codecs:
+        _codecs[mark, pattern] = Codec(parse_ranks(data), pattern)
+    return _codecs[mark, pattern]
+
+
+def _of_file(path: str, pattern: str) -> Callable[[], Codec]:
+    """Reads a rank file here; tasks carry its bytes, a megabyte or so, as executors need not have the file."""
+    with open(path, "rb") as f:
+        data = f.read()
+    mark = hashlib.sha256(data).digest()
+    return lambda: shared_codec(data, mark, pattern)
 
 
 def map_texts(df: DataFrame, each: Callable[[str], tuple], keep: list[str], text: str, fields: list[tuple[str, str]]) -> DataFrame:
@@ -150,7 +166,7 @@ def map_texts(df: DataFrame, each: Callable[[str], tuple], keep: list[str], text
             made = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=[*keep, *(n for n, _ in fields)])
 
-    own = df.select(*[df[c] for c in keep], df[text].cast("string").alias("__text"))
+    own = df.select(*[df[c] for c in keep], df[text].cast("string").alias(unlike(keep, "__text")))
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), *(f"{n} {t}" for n, t in fields)])
     return own.mapInArrow(run, schema)
 
@@ -162,8 +178,10 @@ def tokenize(df: DataFrame, path: str, pattern: str, keep: list[str], text: str
     rows; other columns of df play no part, whatever their names; an empty table gives an empty one.
     """
 
+    own = _of_file(path, pattern)
+
     def each(t: str) -> tuple:
-        return (codec(path, pattern).encode(t),)
+        return (own().encode(t),)
 
     return map_texts(df, each, keep, text, [("ids", "array<int>")])
 
@@ -173,8 +191,10 @@ def round_trip(df: DataFrame, path: str, pattern: str, keep: list[str], text: st
     bytes that the ids decode to) for every row; rows as in tokenize. One pass, no shuffle; memory is bounded by one
     batch of texts and the worker's cache of pieces."""
 
+    of_file = _of_file(path, pattern)
+
     def each(t: str) -> tuple:
-        own = codec(path, pattern)
+        own = of_file()
         n, ids, back = 0, hashlib.sha256(), hashlib.sha256()
         for part in own.parts(t):
             n += len(part) // 4

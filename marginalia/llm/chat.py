@@ -77,15 +77,16 @@ def render(turns: DataFrame, template: Template | None = None) -> DataFrame:
     """conv_id, n_turns, valid, segments (an array of text and loss) and formatted, for every conversation.
 
     turns has conv_id, turn, role and text. Turns of one conversation are ordered by turn, then role, then text, nulls
-    first; a null role or text is empty; repeated rows are as many turns; rows of null conv_id are one conversation. valid:
-    the machine accepted the order of roles; an order it doesn't accept is formatted all the same. Other columns play no
+    first; a null role or text is empty; repeated rows are as many turns; a row of null conv_id is a conversation by itself, as
+    nothing says where it belongs, so nulls gather nowhere. valid: the machine accepted the order of roles; an order it doesn't accept is formatted all the same. Other columns play no
     part; an empty table gives an empty one. One shuffle by conversation: a conversation is one row of the result, so it
     has to fit into a task, and no more than that is ever gathered.
     """
     template = template or Template()
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    each = turns.select("conv_id", F.struct("turn", text("role").alias("role"), text("text").alias("text")).alias("turn"))
-    convs = each.groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("alone")
+    each = turns.select("conv_id", alone, F.struct("turn", text("role").alias("role"), text("text").alias("text")).alias("turn"))
+    convs = each.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
 
     def follow(state: Column, turn: Column) -> Column:
         ok = F.lit(False)

@@ -56,6 +56,27 @@ def discard(spark: SparkSession, paths: list[str], keep: tuple = ()) -> None:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def shielded(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """df with other names for those columns that an operator could take for its own, which begin with two underscores or are
+    among the names; and the way back, for withColumnsRenamed."""
+    taken, back = {c.lower() for c in df.columns}, {}
+    for c in df.columns:
+        if c.startswith("__") or c.lower() in names:
+            new = f"own{c}"
+            while new.lower() in taken:
+                new = f"own_{new}"
+            taken.add(new.lower())
+            back[new] = c
+    return df.withColumnsRenamed({c: n for n, c in back.items()}), back
+
+
+def unlike(names: list[str], name: str) -> str:
+    """A name that is none of the names."""
+    while name.lower() in {n.lower() for n in names}:
+        name += "_"
+    return name
+
+
 def sliced(batches):
     """Arrow batches in parts of a few rows, so that of long texts only few are Python objects at a time."""
     for batch in batches:

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import SAFE_ROWS, collecting, discard, freeze, lookup, sliced
+from marginalia.llm.common import SAFE_ROWS, collecting, discard, freeze, lookup, shielded, sliced
 
 #: Words in a shingle, similarity of a pair, coordinates in a band and bands. At similarity 0.8 a pair shares no band with
 #: probability (1 - 0.8**6)**40, about 5 in a million.
@@ -171,7 +171,7 @@ def _components(edges: DataFrame) -> DataFrame:
 
 
 def near_classes(df: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, rows: int = ROWS, count: int = BANDS, counted: bool = False, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, class_id, class_size, kept and any columns to keep, for every row.
+    """doc_id, class_id, class_size, kept and any columns to keep (but those with these names), for every row.
 
     Two rows are linked if their texts are equal, or if their shingles' Jaccard similarity is at least `similarity`; with
     `counted`, shingles weigh as often as they occur. A class is a connected component, class_id its least doc_id,
@@ -181,7 +181,9 @@ def near_classes(df: DataFrame, similarity: float = SIMILARITY, words: int = WOR
     is compared with one other, and then only pairs that are still in different classes and that a prefix filter, which
     loses none, leaves (`_across`).
     """
-    keep = [c for c in (keep or []) if c != "doc_id"]
+    keep = [c for c in (keep or []) if c.lower() not in ("doc_id", "class_id", "class_size", "kept")]
+    df, back = shielded(df, "copies", "keeper")
+    keep = [{c: n for n, c in back.items()}.get(c, c) for c in keep]
     sent = ["doc_id", "__uid", *keep]
     own = df.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("__uid"), *keep, *([] if "text" in keep else [F.col("text").cast("string").alias("text")]))
     at = own.columns.index("text")
@@ -212,7 +214,7 @@ def near_classes(df: DataFrame, similarity: float = SIMILARITY, words: int = WOR
     out = lookup(docs.drop("__n", "__bands"), by_key, "__key", "copies", max(1, shared))
     alone = F.col("class_size").isNull()
     keeps = (alone | (F.col("keeper") == F.col("__uid"))).alias("kept")
-    return out.select("doc_id", *keep, F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), keeps)
+    return out.select("doc_id", *keep, F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), keeps).withColumnsRenamed(back)
 
 
 def _classes(df: DataFrame, docs: DataFrame, similarity: float, words: int, counted: bool) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marginalia.llm.common import SAFE_ROWS, WORD, collecting, discard, freeze, lookup
+from marginalia.llm.common import SAFE_ROWS, WORD, collecting, discard, freeze, lookup, shielded
 
 #: A run is long enough if it has so many words.
 MIN_WORDS = 50
@@ -107,6 +107,8 @@ def dedup(df: DataFrame, min_words: int = MIN_WORDS, text: str = "text") -> Data
     replaced; an empty table gives an empty one. Blank and other frequent lines cost as much as any: tables of hot keys are
     broadcast, the rest is shuffled.
     """
+    df, back = shielded(df)
+    text = {c: n for n, c in back.items()}.get(text, text)
     own = [c for c in df.columns if c.lower() not in ("n_lines", "n_removed")]
     docs = freeze(df.select(*own, F.monotonically_increasing_id().alias("__uid")), "documents")
     lines = docs.select(F.col("doc_id"), F.col("__uid").alias("uid"), F.posexplode(F.split(text, "\n")).alias("line", "own"))
@@ -125,4 +127,5 @@ def dedup(df: DataFrame, min_words: int = MIN_WORDS, text: str = "text") -> Data
     n_removed = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long")
     n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("long")
     new = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept)
-    return joined.select(*[new.alias(c) if c == text else F.col(c) for c in own], n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+    out = joined.select(*[new.alias(c) if c == text else F.col(c) for c in own], n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+    return out.withColumnsRenamed(back)

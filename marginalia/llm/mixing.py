@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marginalia.llm.common import freeze, literal_rows
+from marginalia.llm.common import freeze, literal_rows, shielded
 
 #: The class of all sources that have no weight of their own, null among them.
 REST = "*"
@@ -63,10 +63,13 @@ def schedule(df: DataFrame, weights: dict[str, int], default: int = 1, order: li
     the number of weights and of partitions.
     """
     spark = df.sparkSession
+    df, back = shielded(df)
+    under = {c: n for n, c in back.items()}
+    source, order = under.get(source, source), [under.get(c, c) for c in order or []]
     own = [c for c in df.columns if c.lower() not in ("mix_slot", "mix_release", "mix_deadline")]
     name = F.when(F.col(source).isin(list(weights)), F.col(source)).otherwise(REST) if weights else F.lit(REST)
     rows = df.select(*own, F.coalesce(name, F.lit(REST)).alias("__source"), F.xxhash64(F.monotonically_increasing_id()).alias("__tie"))
-    rows = rows.orderBy("__source", *(order or []), "__tie").withColumn("__at", F.monotonically_increasing_id())
+    rows = rows.orderBy("__source", *order, "__tie").withColumn("__at", F.monotonically_increasing_id())
     rows = freeze(rows.drop("__tie"), "by-source").withColumn("__part", F.shiftright("__at", 33))
     spans = rows.groupBy("__source", "__part").agg(F.min("__at").alias("__from"), F.count("*").alias("__n"))
     spans = freeze(spans, "spans")  # sorted by source, so there are no more spans than partitions and sources
@@ -91,7 +94,7 @@ def schedule(df: DataFrame, weights: dict[str, int], default: int = 1, order: li
         (base + F.element_at("__run.places", (k + 1).cast("int"))).alias("mix_slot"),
         (base + F.floor(k * total / w)).alias("mix_release"),
         (base + F.ceil((k + 1) * total / w)).alias("mix_deadline"),
-    )
+    ).withColumnsRenamed(back)
 
 
 def mixed(df: DataFrame, weights: dict[str, int], default: int = 1, order: list[str] | None = None, source: str = "source", block: int = 1) -> DataFrame:

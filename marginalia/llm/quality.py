@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm import gbt
-from marginalia.llm.common import sliced
+from marginalia.llm.common import sliced, unlike
 
 #: Labelled rows that the model is fitted on at most: those of least hash, so a bounded sample that any run draws alike.
 MAX_LABELLED = 20_000
@@ -106,6 +106,6 @@ def judge(docs: DataFrame, model: gbt.Trees, keep: list[str], threshold: float =
             columns = [*batch.columns[: len(keep)], *(pa.array(base[:, i]) for i in range(len(BASE))), pa.array(failed), pa.array(~failed & (good >= threshold)), pa.array(good)]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, *BASE, "base_failed", "kept", "quality"])
 
-    own = docs.select(*[docs[c] for c in keep], docs["text"].cast("string").alias("__text"))
+    own = docs.select(*[docs[c] for c in keep], docs["text"].cast("string").alias(unlike(keep, "__text")))
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} long" for c in BASE), "base_failed boolean, kept boolean, quality double"])
     return own.mapInArrow(run, schema)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marginalia.llm.common import freeze
+from marginalia.llm.common import freeze, shielded
 
 #: Rows that are permuted within one task, about.
 PIECE = 500_000
@@ -57,6 +57,7 @@ def shuffle(df: DataFrame, shards: int, seed: int = 0, piece: int = PIECE) -> Da
     alone, so nulls, ties and equal rows are as good as any others, and no key can be hot. Columns of df named shard or
     slot are replaced. An empty table gives an empty one. The driver holds one row of the matrix for each partition.
     """
+    df, back = shielded(df)
     own = [c for c in df.columns if c.lower() not in ("shard", "slot")]
     frozen = freeze(df.select(*own, F.monotonically_increasing_id().alias("__uid")), "rows")
     part = F.shiftright("__uid", 33)
@@ -78,4 +79,4 @@ def shuffle(df: DataFrame, shards: int, seed: int = 0, piece: int = PIECE) -> Da
     within = Window.partitionBy("shard", "__piece").orderBy(F.xxhash64("__uid", F.lit(seed + 2)), "__uid")
     placed = rows.withColumn("__rank", F.row_number().over(within) - 1)
     placed = placed.join(F.broadcast(firsts) if pieces * shards <= 1_000_000 else firsts, ["shard", "__piece"])
-    return placed.select(*own, "shard", (F.col("__first") + F.col("__rank")).alias("slot"))
+    return placed.select(*own, "shard", (F.col("__first") + F.col("__rank")).alias("slot")).withColumnsRenamed(back)
