@@ -1,4 +1,9 @@
-"""The corpus pipeline: each stage applies one operator to all that the stage before it kept."""
+"""The corpus pipeline: each stage applies one operator to all that the stage before it kept.
+
+In every stage a null text counts as empty to what reads it and stays null, rows that repeat stay as many rows unless the stage
+is to drop them, nulls in any other column are carried, an empty table gives an empty one, and columns beside those of
+documents are left out.
+"""
 
 from __future__ import annotations
 
@@ -25,8 +30,8 @@ def stage(f):
     @wraps(f)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship(spark)
-        read = docs.inputFiles()
-        old = [p for p in _tables if not any(p.rpartition("/")[2] in r for r in read)]
+        read = {name for path in docs.inputFiles() for name in path.split("/")}
+        old = [p for p in _tables if p.rpartition("/")[2] not in read]
         discard(spark, old)
         _tables[:] = [p for p in _tables if p not in old]
         with collecting(_tables):
@@ -37,7 +42,8 @@ def stage(f):
 
 @stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the calibrated model takes for toxic (a score of 0.5 or more) go; the others stay as they are."""
+    """Documents that the calibrated model takes for toxic (a score of 0.5 or more) go; the others stay as they are. Null and
+    empty texts get the score of a text without words. Without labels of both kinds nothing that the labels don't say is toxic."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model, COLUMNS).filter(F.col("score") < 0.5).select(COLUMNS)
 
@@ -60,7 +66,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 @stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the slots that their sources' target weights give them."""
+    """All documents, in the order of the slots that their sources' target weights give them: within a source by doc_id, nulls
+    first, equal ones in any order. A null source is one without a weight of its own."""
     return mixing.mixed(docs.select(COLUMNS), WEIGHTS, order=["doc_id"])
 
 
@@ -80,7 +87,8 @@ def placed(docs: DataFrame) -> tuple[DataFrame, int]:
 @stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """position (from 0) in the mixed order, doc_id, n_tokens and the digests of the ids and of what they decode to, for every
-    document, sorted by position. A task gets an equal stretch of positions, so nothing is sampled and no text encoded twice."""
+    document, sorted by position. A task gets an equal stretch of positions, so nothing is sampled and no text encoded twice.
+    Null and empty texts have no ids, and the digest of nothing."""
     import public_tokenizers
 
     rows, n = placed(docs)
