@@ -43,7 +43,8 @@ def stage(f):
 @stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the calibrated model takes for toxic (a score of 0.5 or more) go; the others stay as they are. Null and
-    empty texts get the score of a text without words. Without labels of both kinds nothing that the labels don't say is toxic."""
+    empty texts get the score of a text without words. Without labels of both kinds all
+    scores are their mean, 0 without any."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model, COLUMNS).filter(F.col("score") < 0.5).select(COLUMNS)
 

@@ -62,13 +62,13 @@ def session_cap(spark, sf_dir):
 @query(f"with {EVENTS}, k as (select session, path, key from e group by all) select session, path, key from k")
 def stream_session_memory(spark, sf_dir):
     from marginalia.shared import scratch_dir
-    from marginalia.streaming.memory import first_sightings, write_stream
+    from marginalia.streaming.memory import fading_sightings, write_stream
 
     table = read(spark, sf_dir, "events")
     stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 64).parquet(f"{sf_dir}/events.parque[t]")
-    found = stream.select(F.col("user_id").alias("session"), F.col("event_type").alias("path"), F.get_json_object("props", "$.k").alias("key"))
+    found = stream.select(F.col("user_id").alias("session"), F.col("event_type").alias("path"), F.get_json_object("props", "$.k").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
     base = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
-    running = write_stream(first_sightings(found), f"{base}/out", f"{base}/checkpoint")
+    running = write_stream(fading_sightings(found).drop("ts"), f"{base}/out", f"{base}/checkpoint")
     running.awaitTermination()
     return spark.read.schema("session bigint, path string, key string").parquet(f"{base}/out")
 

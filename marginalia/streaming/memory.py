@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,7 +12,8 @@ from marginalia.functions import lexicon as L
 
 
 def first_sightings(findings: DataFrame) -> DataFrame:
-    """Each (session, path, key) once, by the stream's own deduplication: its state is split by key over all tasks."""
+    """Each (session, path, key) once, by the stream's own deduplication: its state is split by key over all tasks. It keeps every
+    key for ever; for a stream that doesn't end, see fading_sightings."""
     return findings.dropDuplicates(["session", "path", "key"])
 
 
@@ -26,23 +27,39 @@ def write_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def remember_batches(findings: DataFrame, table: str, out: str, checkpoint: str) -> StreamingQuery:
-    """The hook as micro-batches: each batch is held against the table of what was said, then added to it."""
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def remember_batches(findings: DataFrame, table: str, out: str, checkpoint: str, hours: int = L.STALE_HOURS, most: int = L.REMEMBERED) -> StreamingQuery:
+    """The hook as micro-batches: each batch is held against the table of what was said, then added to it.
+
+    findings has session, path, key, score and ts, and may have write: the three best are named for each write, or for each
+    session and path of a batch without one. A batch's time is that of its latest event, and what it said fades `hours` later; the table is
+    partitioned by day, so a batch reads the last days of it and never all. A session that holds more than `most` keys takes
+    no more. A batch that is run again overwrites what it wrote.
+    """
     from marginalia.operators.memory import budget, unseen
 
+    schema = "session string, path string, key string, at timestamp, day date, batch long"
+    write = ["session", "path", *(["write"] if "write" in findings.columns else [])]
+
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch = batch.withColumn("batch", F.lit(number))
-        try:
-            said = spark.read.parquet(table).filter(F.col("batch") < number)
-            new = unseen(batch, said)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            new = batch
-        named = budget(new.dropDuplicates(["session", "path", "key"]), ["session", "path"], ["key"])
-        named.write.mode("overwrite").parquet(f"{out}/batch={number}")
-        spark.read.parquet(f"{out}/batch={number}").select("session", "path", "key").write.mode("overwrite").parquet(f"{table}/batch={number}")
+        now = batch.agg(F.max("ts")).first()[0]
+        if now is None:
+            return
+        said = spark.read.schema(schema).parquet(table) if _exists(spark, table) else spark.createDataFrame([], schema)
+        since = F.lit(now).cast("timestamp") - F.expr(f"interval {hours} hours")
+        said = said.filter((F.col("day") >= F.to_date(since)) & (F.col("batch") != number) & (F.col("at") > since))
+        first = unseen(batch, said).groupBy(*write, "key").agg(F.max("score").alias("score")).withColumn("at", F.lit(now).cast("timestamp"))
+        path = f"{out}/batch={number}"
+        budget(first, write, ["key"]).write.mode("overwrite").parquet(path)
+        full = said.groupBy("session").agg(F.countDistinct("path", "key").alias("held")).filter(F.col("held") > most)
+        new = spark.read.parquet(path).join(full, "session", "left_anti").select("session", "path", "key", "at", F.to_date("at").alias("day"))
+        days = new.withColumn("batch", F.lit(number)).write.partitionBy("day", "batch").mode("overwrite")
+        days.option("partitionOverwriteMode", "dynamic").parquet(table)
 
     return findings.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,6 +1,7 @@
 """Memory in batch and stream, payloads, reports."""
 
 import json
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -80,3 +81,21 @@ def test_report(spark):
 def test_display(spark):
     df = spark.createDataFrame([("/w/a/b.py", "/w"), ("/w/a/b.py", ""), ("/x/b\x07.py", "/w"), ("/wide/b", "/w")], "p string, c string")
     assert [r.v for r in df.select(R.display(F.col("p"), F.col("c")).alias("v")).collect()] == ["a/b.py", "b.py", "b.py", "b"]
+
+
+def test_memory_fades_and_is_bounded(spark, tmp_path):
+    """By the time of the events: what was said a day before is said again; a full session takes no more; three for each write."""
+    schema = "session string, path string, key string, score double, write long, ts timestamp"
+    at = lambda d, h: datetime(2024, 1, d, h)
+    batches = [
+        [("a", "x", str(i), float(i), 1, at(1, 0)) for i in range(5)],
+        [("a", "x", "4", 4.0, 2, at(1, 5)), ("a", "x", "0", 0.0, 2, at(1, 5)), ("a", "x", "9", 0.0, 3, at(1, 5))],
+        [("a", "x", "4", 4.0, 4, at(2, 4)), ("a", "x", "0", 1.0, 4, at(2, 4))],
+    ]
+    named = []
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        findings = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        S.remember_batches(findings, f"{tmp_path}/said", f"{tmp_path}/out", f"{tmp_path}/check", most=100).awaitTermination()
+        named.append(sorted((r.write, r.key) for r in spark.read.parquet(f"{tmp_path}/out/batch={i}").collect()))
+    assert named == [[(1, "2"), (1, "3"), (1, "4")], [(2, "0"), (3, "9")], [(4, "4")]]
