@@ -32,12 +32,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
-def remember_batches(findings: DataFrame, table: str, out: str, checkpoint: str, hours: int = L.STALE_HOURS, most: int = L.REMEMBERED) -> StreamingQuery:
+def remember_batches(findings: DataFrame, table: str, out: str, checkpoint: str, hours: int | None = None, most: int = L.REMEMBERED) -> StreamingQuery:
     """The hook as micro-batches: each batch is held against the table of what was said, then added to it.
 
     findings has session, path, key, score and ts, and may have write: the three best are named for each write, or for each
-    session and path of a batch without one. A batch's time is that of its latest event, and what it said fades `hours` later; the table is
-    partitioned by day, so a batch reads the last days of it and never all. A session that holds more than `most` keys takes
+    session and path of a batch without one. A batch's time is that of its latest event. With `hours`
+    (lexicon.STALE_HOURS is the hook's) what it said fades so much later, and as the table is partitioned by day, a batch reads
+    the last days of it and never all; without, nothing fades. A session that holds more than `most` keys takes
     no more. A batch that is run again overwrites what it wrote.
     """
     from marginalia.operators.memory import budget, unseen
@@ -51,8 +52,10 @@ def remember_batches(findings: DataFrame, table: str, out: str, checkpoint: str,
         if now is None:
             return
         said = spark.read.schema(schema).parquet(table) if _exists(spark, table) else spark.createDataFrame([], schema)
-        since = F.lit(now).cast("timestamp") - F.expr(f"interval {hours} hours")
-        said = said.filter((F.col("day") >= F.to_date(since)) & (F.col("batch") != number) & (F.col("at") > since))
+        said = said.filter(F.col("batch") != number)
+        if hours is not None:
+            since = F.lit(now).cast("timestamp") - F.expr(f"interval {hours} hours")
+            said = said.filter((F.col("day") >= F.to_date(since)) & (F.col("at") > since))
         first = unseen(batch, said).groupBy(*write, "key").agg(F.max("score").alias("score")).withColumn("at", F.lit(now).cast("timestamp"))
         path = f"{out}/batch={number}"
         budget(first, write, ["key"]).write.mode("overwrite").parquet(path)

@@ -96,6 +96,6 @@ def test_memory_fades_and_is_bounded(spark, tmp_path):
     for i, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         findings = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
-        S.remember_batches(findings, f"{tmp_path}/said", f"{tmp_path}/out", f"{tmp_path}/check", most=100).awaitTermination()
+        S.remember_batches(findings, f"{tmp_path}/said", f"{tmp_path}/out", f"{tmp_path}/check", hours=24, most=100).awaitTermination()
         named.append(sorted((r.write, r.key) for r in spark.read.parquet(f"{tmp_path}/out/batch={i}").collect()))
     assert named == [[(1, "2"), (1, "3"), (1, "4")], [(2, "0"), (3, "9")], [(4, "4")]]
