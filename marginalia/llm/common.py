@@ -19,8 +19,8 @@ HOT_KEYS = 1000
 SAFE_ROWS = 200_000
 
 
-#: Rows of a batch that are Python objects at one time.
-SLICE = 512
+#: Rows of a batch that are Python objects at one time, and rows of a batch.
+SLICE, BATCH = 512, 1000
 _collecting: list[list[str]] = []
 
 
@@ -77,6 +77,14 @@ def unlike(names: list[str], name: str) -> str:
     return name
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH rows, where the session has Spark's own 10,000: rows are whole texts, and a batch is held
+    by the JVM and by Python at once."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(setting) == "10000":
+        spark.conf.set(setting, str(BATCH))
+
+
 def sliced(batches):
     """Arrow batches in parts of a few rows, so that of long texts only few are Python objects at a time."""
     for batch in batches:

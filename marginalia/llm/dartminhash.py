@@ -301,7 +301,8 @@ def _across(sets: DataFrame, similarity: float, counted: bool) -> DataFrame:
         cells = np.zeros(CELLS, np.int64)
         for batch in sliced(batches):
             for s, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                cells += np.bincount((_tokens(s, c, counted) & _U(CELLS - 1)).astype(np.int64), minlength=CELLS)
+                cell, n = np.unique(_tokens(s, c, counted) & _U(CELLS - 1), return_counts=True)
+                cells[cell.astype(np.int64)] += n
         some = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(cells[some])], names=["cell", "n"])
 

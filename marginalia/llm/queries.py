@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import bpe, chat, dartminhash, linededup, mixing, quality, sharding, topk, toxicity, warc
+from marginalia.llm.common import short_batches
 from marginalia.ship import ship
 
 SHARDS = 16
@@ -17,6 +18,7 @@ WEIGHTS = {"src0": 6, "src1": 3, "src2": 3, "src3": 2, **{f"src{i}": 1 for i in
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship(spark)
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
