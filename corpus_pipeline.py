@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import bpe, dartminhash, linededup, mixing, toxicity
-from marginalia.llm.common import collecting, discard, freeze, literal_rows
+from marginalia.llm.common import collecting, discard, freeze, literal_rows, short_batches
 from marginalia.llm.queries import WEIGHTS
 from marginalia.ship import ship
 
@@ -30,6 +30,7 @@ def stage(f):
     @wraps(f)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship(spark)
+        short_batches(spark)
         read = {name for path in docs.inputFiles() for name in path.split("/")}
         old = [p for p in _tables if p.rpartition("/")[2] not in read]
         discard(spark, old)
