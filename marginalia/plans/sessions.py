@@ -65,7 +65,8 @@ def stream_session_memory(spark, sf_dir):
     from marginalia.streaming.memory import fading_sightings, write_stream
 
     table = read(spark, sf_dir, "events")
-    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 64).parquet(f"{sf_dir}/events.parque[t]")
+    # All that is there is one batch: what lies in the table in whatever order is never late.
+    stream = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/events.parque[t]")
     found = stream.select(F.col("user_id").alias("session"), F.col("event_type").alias("path"), F.get_json_object("props", "$.k").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
     base = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
     running = write_stream(fading_sightings(found).drop("ts"), f"{base}/out", f"{base}/checkpoint")
