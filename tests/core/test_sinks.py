@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from marginalia.functions import render
 from marginalia.operators import head as H
 from marginalia.sources import sinks
 
@@ -68,3 +69,11 @@ def test_cut_is_the_plain_loop(spark):
         df = spark.createDataFrame(rows, "class int, label int, score double")
         got = H.cut(df, 0.7, 0.1).first().threshold
         assert got == literal_cut([(s, r) for _, r, s in rows], 0.7, 0.1)
+
+
+def test_scores_are_rounded_by_their_exact_value(spark):
+    # 0.0125 and 1.0005 lie above and below the half that they look like; 1/16 and 3/16 are halves.
+    scores = [1 / (1 + n) for n in range(400)] + [0.0005, 1.0005, 2.0015, 3 / 16, 0.0, 7.0, 0.95]
+    rows = spark.createDataFrame([(s,) for s in scores], "s double")
+    made = rows.select("s", render.tsv(F.lit("a"), F.lit(1), F.lit("c"), F.col("s"), F.lit("r")).alias("v")).collect()
+    assert [r.v for r in made] == [f"a:1\tc\t{r.s:.3f}\tr" for r in made]
