@@ -129,8 +129,8 @@ _PADDING = " The design is simple, easy and robust. It handles the {} value. Use
 
 def docs_as_declarations(spark, sf_dir):
     """doc_id, declaration (the first line) and text: all of it, and for two of three documents sentences that pad it."""
-    docs = read(spark, sf_dir, "documents", "doc_id", "text").withColumn("first", P.lines(F.col("text"))[0])
-    pad = F.replace(F.lit(_PADDING), F.lit("{}"), F.coalesce(F.get(P.fields(F.col("first")), F.lit(0)), F.lit("")))
+    docs = read(spark, sf_dir, "documents", "doc_id", "text").withColumn("first", F.substring_index("text", "\n", 1))
+    pad = F.replace(F.lit(_PADDING), F.lit("{}"), F.coalesce(P.first_field(F.col("first")), F.lit("")))
     text = F.when(F.col("doc_id") % 3 != 0, F.concat("text", pad)).otherwise(F.col("text"))
     return docs.select("doc_id", F.col("first").alias("declaration"), text.alias("text"))
 
@@ -155,8 +155,9 @@ f as (select *, count(*) over (partition by doc_id) as found from h)"""
 @query(f"with {_hollow_sql()} select f.doc_id, place as \"at\", why, s as sentence, round(0.4 + 0.3 * found / n, 6) as score from f join d using (doc_id) where found >= 2")
 def hollow_documents(spark, sf_dir):
     own = docs_as_declarations(spark, sf_dir)
-    found = P.once(own, found=P.hollow_sentences(P.split(F.col("text")), P.spelled(F.col("declaration")))).filter(F.size("found") >= 2)
-    score = F.round(rules.hollow_score(F.size("found"), P.sentences(F.col("text"))), 6)
+    own = P.once(own, pieces=P.split(F.col("text")))
+    found = P.once(own, found=P.hollow_sentences(F.col("pieces"), P.spelled(F.col("declaration")))).filter(F.size("found") >= 2)
+    score = F.round(rules.hollow_score(F.size("found"), P.ended(F.col("pieces"))), 6)
     return found.select("doc_id", score.alias("score"), F.explode("found").alias("x")).select("doc_id", "x.at", "x.why", F.col("x.text").alias("sentence"), "score")
 
 
