@@ -171,8 +171,12 @@ from v where not notice and (leftover or echo or found >= 2)
 def inspect_first_match(spark, sf_dir):
     own = docs_as_declarations(spark, sf_dir).filter(~P.notice(F.col("text")))
     names = P.spelled(F.col("declaration"))
-    hollow = P.hollow_sentences(P.split(F.col("text")), names)
-    own = P.once(own, v=rules.inspect(P.code(F.col("text")), rules.echoes(F.col("text"), names), hollow, P.sentences(F.col("text")))).filter("v is not null")
+    # What is code needs no sentences; of the rest they are found once for both other rules.
+    own = P.once(own, code=P.code(F.col("text")))
+    own = P.once(own, pieces=F.when(~F.col("code"), P.split(F.col("text"))))
+    own = P.once(own, ended=P.ended(F.col("pieces")))
+    hollow = P.hollow_sentences(F.col("pieces"), names)
+    own = P.once(own, v=rules.inspect(F.col("code"), rules.echoes(F.col("text"), names, F.col("ended")), hollow, F.col("ended"))).filter("v is not null")
     return own.select("doc_id", "v.class", F.round("v.score", 6).alias("score"))
 
 

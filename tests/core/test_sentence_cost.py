@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import lexicon as L
 from marginalia.functions import prose as P
+from marginalia.operators import rules
 
 WHITE = "\t\n\x0b\f\r \x85\xa0                　"
 ATOMS = [
@@ -62,3 +63,9 @@ def test_names_are_searched_for_one_new_word(spark):
 
     seconds(of(100))
     assert seconds(of(40_000)) < 3
+
+
+def test_sentences_that_are_counted_are_not_sought_again(spark):
+    counted = F.col("n")
+    plan = spark.range(1).select(F.lit("One two.").alias("t"), F.lit(1).alias("n")).select(rules.echoes(F.col("t"), F.array(F.lit("two")), counted))
+    assert "regexp_extract_all" not in plan._jdf.queryExecution().analyzed().toString()
