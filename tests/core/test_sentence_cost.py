@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import lexicon as L
 from marginalia.functions import prose as P
-from marginalia.operators import rules
+from marginalia.operators import audit, rules
+from marginalia.plans import sweeps
+from marginalia.sources import scan as S
+from marginalia.sources import sinks
 
 WHITE = "\t\n\x0b\f\r \x85\xa0                　"
 ATOMS = [
@@ -69,3 +72,11 @@ def test_sentences_that_are_counted_are_not_sought_again(spark):
     counted = F.col("n")
     plan = spark.range(1).select(F.lit("One two.").alias("t"), F.lit(1).alias("n")).select(rules.echoes(F.col("t"), F.array(F.lit("two")), counted))
     assert "regexp_extract_all" not in plan._jdf.queryExecution().analyzed().toString()
+
+
+def test_words_are_made_of_what_is_kept(spark, tmp_path):
+    spark.createDataFrame([(1, "one\ntwo")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = sinks.harvest(audit.comments(S.scan(sweeps.sources(spark, str(tmp_path)))))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("row_number") :]
+    assert "array_join" in plan and "array_join(filter(" not in below and "array_join(transform(raw" not in below
